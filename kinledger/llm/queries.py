@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinledger.llm import packing, splits, tokenizer
+from kinledger.llm import packing, splits, tokenizer, truncation
 from kinledger.runtime import table
 
 CAPACITY = 2048
@@ -27,7 +27,15 @@ def p9_packing(spark, d):
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p8_ids, p9_packing)}
+def p10_found(spark, d):
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_share_by_source(spark, d):
+    return truncation.share_by_source(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_split, p8_ids, p9_packing, p10_found, p10_share_by_source)}
 
 _BARE = "lower(regexp_replace({}, '^[\\s\\x{{00a0}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{3000}}]+$', '', 'g'))"
 
