@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from kinledger.runtime import cut
 
 BITS = 16
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 20_000
 THRESHOLD = 0.6
 NEAR = 25
 SPIKE = 6.0
@@ -108,8 +108,11 @@ def features(text: str, limit: str, known: frozenset[str]) -> list[int]:
         f"rest={plain(since)}" if len(since) <= 20 else "rest=long",
         f"signed={plain(before)[-24:]}|{n_words <= 6}",
     ]
+    own_line = f"{len(lines) > 1 and n_words <= 8}|{plain(last.split()[0]) if n_words > 1 and n_words <= 8 and len(lines) > 1 else ''}"
     for n in (1, 2, 3):
-        f.append(f"w{n}=" + " ".join(words[-n:]))
+        f.append(f"w{n}=" + " ".join(words[-n:]) + f"|{len(lines) > 1 and n_words <= 8}")
+    f.append(f"own={own_line}|{words[-1] if words else ''}")
+    f.append(f"own={own_line}|{is_known}")
     if words:
         f.append(f"len={min(len(words[-1]), 12)}|{_shape(tail[-1][:1])}|{sentence}|{is_known}")
     if limit:
