@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 32 << 20
@@ -23,10 +25,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kinledger-ckpt-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that later plans restart from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _folder(spark: SparkSession) -> str:
+    """This application's folder below the shared checkpoint folder; removed when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/tables"
+    if path not in _registered:
+        _registered.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:
+        return  # the session is gone; the folder goes with the application's checkpoint folder
+
+
+_registered: set[str] = set()
+
+
+def cut(df: DataFrame, **counts: Column) -> DataFrame | tuple[DataFrame, Row]:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back: lineage is cut, sizes are known.
+
+    With ``counts`` (name=aggregate) their values over the written rows come along, without another job.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    seen = Observation(uuid.uuid4().hex) if counts else None
+    out = df.observe(seen, *[c.alias(n) for n, c in counts.items()]) if seen else df
+    out.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return (back, Row(**seen.get)) if seen else back
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
