@@ -1,32 +1,42 @@
-"""Joins and ranks that stay even when one key holds a third of all rows."""
+"""Joins that stay even when one key holds a third of all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinledger.runtime import cut
+
 HOT_ROWS = 100_000
 
 
-def fans(counts: DataFrame, key: str, n: str = "n", limit: int = HOT_ROWS) -> DataFrame:
-    """(key, fan) of the keys with more than ``limit`` rows; at most total/limit rows, hence broadcast."""
-    return counts.where(F.col(n) > limit).select(F.col(key), F.ceil(F.col(n) / limit).cast("int").alias("fan"))
+def fans(counts: DataFrame, key: str, n: str = "n", limit: int = HOT_ROWS) -> DataFrame | None:
+    """(key, fan) of the keys with more than ``limit`` rows, None if there is none.
+
+    At most total/limit rows, so that it may be broadcast at any size of the data.
+    """
+    hot, seen = cut(counts.where(F.col(n) > limit).select(F.col(key).alias("_k"), F.ceil(F.col(n) / limit).cast("int").alias("_fan")), rows=F.count(F.lit(1)))
+    return hot if seen.rows else None
 
 
-def salt(df: DataFrame, hot: DataFrame, key: str, by: Column, out: str) -> DataFrame:
+def salt(df: DataFrame, hot: DataFrame | None, key: str, by: Column, out: str = "_salt") -> DataFrame:
     """``df`` plus ``out``: 0, or for a hot key one of its ``fan`` salts, chosen by the hash of ``by``."""
-    h = F.broadcast(hot.select(F.col(key).alias("_k"), F.col("fan").alias("_fan")))
-    salted = df.join(h, F.col(key).eqNullSafe(F.col("_k")), "left").withColumn(out, F.coalesce(F.pmod(F.xxhash64(by), F.col("_fan")), F.lit(0)).cast("int"))
-    return salted.drop("_k", "_fan")
+    if hot is None:
+        return df.withColumn(out, F.lit(0))
+    salted = df.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left")
+    return salted.withColumn(out, F.coalesce(F.pmod(F.xxhash64(by), F.col("_fan")), F.lit(0)).cast("int")).drop("_k", "_fan")
 
 
-def spread(unique: DataFrame, hot: DataFrame, key: str, out: str) -> DataFrame:
+def spread(unique: DataFrame, hot: DataFrame | None, key: str, out: str = "_salt") -> DataFrame:
     """The side with unique keys, its hot rows repeated once per salt (sum of fans: total/limit rows at most)."""
-    h = F.broadcast(hot.select(F.col(key).alias("_k"), F.col("fan").alias("_fan")))
-    every = unique.join(h, F.col(key).eqNullSafe(F.col("_k")), "left")
+    if hot is None:
+        return unique.withColumn(out, F.lit(0))
+    every = unique.join(F.broadcast(hot), F.col(key) == F.col("_k"), "left")
     return every.withColumn(out, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan"), F.lit(1)) - 1))).drop("_k", "_fan")
 
 
-def skew_join(big: DataFrame, unique: DataFrame, key: str, by: Column, hot: DataFrame, how: str = "inner") -> DataFrame:
+def skew_join(big: DataFrame, unique: DataFrame, key: str, by: Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """``big`` joined to ``unique`` on ``key``, hot keys over several tasks."""
-    return salt(big, hot, key, by, "_salt").join(spread(unique, hot, key, "_salt"), [key, "_salt"], how).drop("_salt")
+    if hot is None:
+        return big.join(unique, key, how)
+    return salt(big, hot, key, by).join(spread(unique, hot, key), [key, "_salt"], how).drop("_salt")

@@ -1,10 +1,11 @@
 """Splits that keep related records together.
 
 Keys (entities, clusters) are the nodes and every row is an edge, so the graph has one edge per distinct key pair.
-Components come from a frontier breadth-first search: adjacency is hash-partitioned, every local minimum of the hash
-order is a seed, all seeds expand at once, and where two seeds meet an edge of the (much smaller) seed graph arises,
-which is treated the same way. A round at least halves the non-isolated nodes, and a node is within O(log n) hops of
-a local minimum, so rounds and levels stay few on any graph, long chains included.
+Components come from a frontier breadth-first search: adjacency is hash-partitioned, every node that comes before all
+its neighbours (more neighbours first, by powers of two, then by hash) is a seed, all seeds expand at once, and where
+two seeds meet an edge of the (much smaller) seed graph arises, which is treated the same way. A round at least halves
+the nodes that have neighbours, hubs swallow their leaves at once, and chains of random hashes have seeds within
+O(log n) hops, so rounds and levels stay few on any graph.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinledger.functions.text import SPACE_CLASS
-from kinledger.llm.skew import HOT_ROWS, fans, salt, skew_join, spread
+from kinledger.llm.skew import fans, salt, skew_join, spread
 from kinledger.runtime import cut
 
 RATIOS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -21,50 +22,49 @@ BIG_SHARE = 0.005
 BUCKETS = 4096
 
 
-def _rank(c: Column) -> Column:
-    """Random total order of nodes: hash first, the name itself against collisions."""
-    return F.struct(F.xxhash64(c).alias("h"), c.alias("k"))
+def _prepare(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """(edges a, b, _salt of a, rank of a; hot nodes; number of edges): all distinct edges in both directions."""
+    apart = pairs.where("a <> b")
+    edges, seen = cut(apart.select("a", "b").union(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), rows=F.count(F.lit(1)))
+    if not seen.rows:
+        return edges, None, 0
+    degree = edges.groupBy("a").agg(F.count("*").alias("n"))
+    hot = fans(degree, "a")
+    ranks = degree.select("a", F.struct((-F.floor(F.log2("n"))).alias("d"), F.xxhash64("a").alias("h"), F.col("a").alias("k")).alias("rank"))
+    return cut(salt(skew_join(edges, ranks, "a", F.col("b"), hot), hot, "a", F.col("b"))), hot, seen.rows
 
 
-def _prepare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both directions of all distinct edges with the salts of their ends, and the hot nodes."""
-    both = pairs.where("a <> b").select("a", "b").union(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    hot = cut(fans(both.groupBy("a").agg(F.count("*").alias("n")), "a", limit=HOT_ROWS)).withColumnRenamed("a", "node")
-    g = salt(both.withColumnRenamed("a", "node"), hot, "node", F.col("b"), "sa").withColumnRenamed("node", "a")
-    return g, hot
-
-
-def _search(g: DataFrame, hot: DataFrame) -> DataFrame:
+def _search(g: DataFrame, hot: DataFrame | None) -> DataFrame:
     """(node, seed) of all nodes of ``g``, each with a seed of its component that reaches it first."""
-    lowest = g.groupBy("a").agg(F.min(_rank(F.col("b"))).alias("low"))
-    labels = cut(lowest.select(F.col("a").alias("node"), F.when(_rank(F.col("a")) < F.col("low"), F.col("a")).alias("seed")))
-    frontier = labels.where("seed is not null")
-    while not frontier.isEmpty():
-        reach = g.withColumnRenamed("a", "node").withColumnRenamed("sa", "_salt").join(spread(frontier, hot, "node", "_salt"), ["node", "_salt"])
-        best = reach.groupBy(F.col("b").alias("node")).agg(F.min(_rank(F.col("seed"))).alias("found"))
-        grown = labels.join(best, "node", "left")
-        labels = cut(grown.select("node", F.coalesce("seed", F.col("found")["k"]).alias("seed"), (F.col("seed").isNull() & F.col("found").isNotNull()).alias("fresh")))
-        frontier = labels.where("fresh").select("node", "seed")
-        labels = labels.select("node", "seed")
-    return labels
+    # every edge also stands the other way round, so the ranks of a node's neighbours meet at b
+    lowest = g.groupBy("b").agg(F.min("rank").alias("low")).withColumnRenamed("b", "a")
+    own = g.select("a", "rank").distinct()
+    labels = cut(own.join(lowest, "a").select(F.col("a").alias("node"), F.when(F.col("rank") < F.col("low"), F.col("a")).alias("seed"), F.lit(True).alias("fresh")))
+    n_fresh = 1
+    while n_fresh:
+        frontier = labels.where("fresh and seed is not null").select(F.col("node").alias("a"), "seed")
+        reach = g.select("a", "b", "_salt").join(spread(frontier, hot, "a"), ["a", "_salt"])
+        best = reach.groupBy(F.col("b").alias("node")).agg(F.min_by("seed", F.struct(F.xxhash64("seed"), F.col("seed"))).alias("found"))
+        step = labels.join(best, "node", "left").select("node", F.coalesce("seed", "found").alias("seed"), (F.col("seed").isNull() & F.col("found").isNotNull()).alias("fresh"))
+        labels, seen = cut(step, n=F.count_if("fresh"))
+        n_fresh = seen.n
+    return labels.select("node", "seed")
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
-    """(node, component) of every node in ``pairs`` (a, b); a node paired with itself is a component of one.
+    """(node, component) of every node in ``pairs`` (a, b); a node paired with itself or with null stands alone.
 
-    Null ends are ignored unless the other end is given, which then stands alone. An empty table gives no rows.
+    An empty table gives no rows.
     """
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct())
-    result = nodes.withColumn("component", F.col("node"))
-    g, hot = _prepare(pairs.where("a is not null and b is not null"))
-    while not g.isEmpty():
+    result = pairs.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct().withColumn("component", F.col("node"))
+    g, hot, n_edges = _prepare(pairs.where("a is not null and b is not null"))
+    while n_edges:
         labels = _search(g, hot)
-        result = cut(result.join(labels.select(F.col("node").alias("component"), "seed"), "component", "left").select("node", F.coalesce("seed", "component").alias("component")))
-        ends = g.where("a < b").withColumnRenamed("a", "node").withColumnRenamed("sa", "_salt")
-        left = ends.join(spread(labels, hot, "node", "_salt"), ["node", "_salt"]).select(F.col("seed").alias("sa"), F.col("node").alias("other"), F.col("b").alias("node"))
-        met = skew_join(left, labels, "node", F.col("other"), hot).select(F.col("sa").alias("a"), F.col("seed").alias("b")).where("a <> b").distinct()
-        g, hot = _prepare(cut(met))
+        result = cut(result.join(labels.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("seed", "component").alias("component")))
+        ends = g.where("a < b").select("a", "b", "_salt").join(spread(labels.withColumnRenamed("node", "a"), hot, "a"), ["a", "_salt"])
+        ends = ends.select(F.col("b").alias("node"), F.col("a").alias("other"), F.col("seed").alias("sa"))
+        met = skew_join(ends, labels, "node", F.col("other"), hot)
+        g, hot, n_edges = _prepare(met.select(F.col("sa").alias("a"), F.col("seed").alias("b")))
     return result
 
 
@@ -136,8 +136,8 @@ def split_rows(pairs: DataFrame, key: str = "pair_id", entity: str = "entity_id"
     splits = assign_splits(components.groupBy("component").agg(F.sum("n").alias("n")), ratios or RATIOS)
     # splits may be many and components may be hot: both sides are one row per node or component
     hot_components = fans(components.groupBy("component").agg(F.count("*").alias("n")), "component")
-    by_node = skew_join(components, splits, "component", F.col("node"), cut(hot_components))
-    hot = cut(fans(components, "node"))
+    by_node = skew_join(components, splits, "component", F.col("node"), hot_components)
+    hot = fans(components, "node")
     return skew_join(rows.select(key, "node"), by_node.select("node", "component", "split"), "node", F.col(key), hot).select(key, "component", "split")
 
 
@@ -146,7 +146,7 @@ def leaking_rows(pairs: DataFrame, key: str = "pair_id", entity: str = "entity_i
     rows, components = related_rows(pairs, key, entity, cluster)
     at_node = rows.groupBy("node").agg(F.min(_bare(F.col(split))).alias("lo"), F.max(_bare(F.col(split))).alias("hi"))
     verdict = components.join(at_node, "node").groupBy("component").agg((F.min("lo") < F.max("hi")).alias("leaks")).where("leaks")
-    hot_components = cut(fans(components.groupBy("component").agg(F.count("*").alias("n")), "component"))
+    hot_components = fans(components.groupBy("component").agg(F.count("*").alias("n")), "component")
     leaking = skew_join(components, verdict, "component", F.col("node"), hot_components).select("node")
-    hot = cut(fans(components, "node"))
+    hot = fans(components, "node")
     return skew_join(rows.select(key, "node"), leaking, "node", F.col(key), hot).select(key)
