@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinledger.llm import packing, splits, tokenizer, truncation
+from kinledger.llm import addresses, packing, splits, tokenizer, truncation
+from kinledger.operators.snapshots import current_list
 from kinledger.runtime import table
 
 CAPACITY = 2048
@@ -18,6 +19,16 @@ def p1_split(spark, d):
     return splits.split_rows(table(spark, d, "pairs")).select("pair_id", "split")
 
 
+def _towns(spark, d):
+    """The town reference has a fixed number of rows (40)."""
+    return [r.asDict() for r in table(spark, d, "town_reference").collect()]
+
+
+def p2_found(spark, d):
+    rows = current_list(table(spark, d, "registered_nbfc"), ["source_row_number", "address"])
+    return addresses.same_premises(rows, "source_row_number", "address", _towns(spark, d))
+
+
 def p8_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", tokenizer.token_ids(F.col("text")).alias("ids"))
 
@@ -35,7 +46,7 @@ def p10_share_by_source(spark, d):
     return truncation.share_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p8_ids, p9_packing, p10_found, p10_share_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p8_ids, p9_packing, p10_found, p10_share_by_source)}
 
 _BARE = "lower(regexp_replace({}, '^[\\s\\x{{00a0}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{3000}}]+$', '', 'g'))"
 
