@@ -237,7 +237,7 @@ def street_gazetteer(apart: DataFrame) -> DataFrame:
     here = in_town.select("town_id", F.col("street").alias("s")).join(near, "s")
     support = in_town.select("town_id", F.col("street").alias("c"), F.col("n_town").alias("c_town"))
     weighed = here.join(support, ["town_id", "c"], "left")
-    score = F.log("n_c") + 1.5 * F.log1p(F.coalesce("c_town", F.lit(0))) - 2.0 * F.col("d")
+    score = F.log("n_c") + 1.5 * F.log1p(F.coalesce("c_town", F.lit(0))) - F.element_at(F.array(F.lit(0.0), F.lit(1.0), F.lit(2.5)), F.col("d") + 1)
     return weighed.select("town_id", "s", F.col("c").alias("street"), score.alias("score"))
 
 
@@ -248,10 +248,13 @@ def beam(apart: DataFrame, key: str, gazetteer: DataFrame) -> DataFrame:
     """
     hypotheses = apart.where("street is not null and number is not null").select(key, "number", "kind", F.col("street").alias("s"), F.explode("towns").alias("t"))
     extended = hypotheses.select(key, "number", "kind", "s", "t.town_id", "t.penalty").join(gazetteer, ["town_id", "s"])
-    scored = extended.withColumn("total", F.col("score") - 2 * F.col("penalty"))
+    # how many other addresses give exactly this plot under the candidate's spelling
+    plots = hypotheses.groupBy(F.col("t.town_id").alias("town_id"), F.col("s").alias("street"), F.coalesce("kind", F.lit("?")).alias("kind"), "number").agg(F.count("*").alias("n_plot"))
+    supported = extended.withColumn("kind", F.coalesce("kind", F.lit("?"))).join(plots, ["town_id", "street", "kind", "number"], "left")
+    scored = supported.withColumn("total", F.col("score") - 2 * F.col("penalty") + 2 * F.log1p(F.coalesce("n_plot", F.lit(0)) - (F.col("s") == F.col("street")).cast("int")))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("total"), "town_id", "street"))
     kept = scored.withColumn("rank", rank).where(F.col("rank") <= BEAM)
-    identifier = F.concat_ws("|", F.lit("s"), F.col("town_id"), F.col("street"), F.coalesce("kind", F.lit("?")), F.col("number"))
+    identifier = F.concat_ws("|", F.lit("s"), F.col("town_id"), F.col("street"), F.col("kind"), F.col("number"))
     return kept.where("rank = 1").select(key, "town_id", identifier.alias("premises"))
 
 
