@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinledger.llm import addresses, packing, splits, tokenizer, truncation
+from kinledger.llm import addresses, names, packing, splits, tokenizer, truncation
 from kinledger.operators.snapshots import current_list
 from kinledger.runtime import table
 
@@ -29,6 +29,11 @@ def p2_found(spark, d):
     return addresses.same_premises(rows, "source_row_number", "address", _towns(spark, d))
 
 
+def p3_found(spark, d):
+    current = current_list(table(spark, d, "registered_nbfc"), ["source_row_number", "name_core", "alternate_names"])
+    return names.link_claims(table(spark, d, "company_input"), current).select("claim_id", "source_row_number")
+
+
 def p8_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", tokenizer.token_ids(F.col("text")).alias("ids"))
 
@@ -46,7 +51,7 @@ def p10_share_by_source(spark, d):
     return truncation.share_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p8_ids, p9_packing, p10_found, p10_share_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p8_ids, p9_packing, p10_found, p10_share_by_source)}
 
 _BARE = "lower(regexp_replace({}, '^[\\s\\x{{00a0}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{3000}}]+$', '', 'g'))"
 
