@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinledger.llm import addresses, names, packing, splits, tokenizer, truncation
+from kinledger.llm import addresses, linkage, names, packing, splits, tokenizer, truncation
 from kinledger.operators.snapshots import current_list
 from kinledger.runtime import table
 
@@ -34,6 +34,16 @@ def p3_found(spark, d):
     return names.link_claims(table(spark, d, "company_input"), current).select("claim_id", "source_row_number")
 
 
+def p6_links(spark, d):
+    current = current_list(table(spark, d, "registered_nbfc"), ["source_row_number", "name_core", "alternate_names", "regional_office", "classification"])
+    offices = [r.asDict() for r in table(spark, d, "office_reference").collect()]  # fixed, 11 rows
+    return linkage.link_records(table(spark, d, "cancelled_record"), current, offices)
+
+
+def p6_found(spark, d):
+    return p6_links(spark, d).select("record_id", "source_row_number")
+
+
 def p8_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", tokenizer.token_ids(F.col("text")).alias("ids"))
 
@@ -51,7 +61,7 @@ def p10_share_by_source(spark, d):
     return truncation.share_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p8_ids, p9_packing, p10_found, p10_share_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p6_found, p6_links, p8_ids, p9_packing, p10_found, p10_share_by_source)}
 
 _BARE = "lower(regexp_replace({}, '^[\\s\\x{{00a0}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{3000}}]+$', '', 'g'))"
 
