@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from kinledger.runtime import cut
 
 BITS = 16
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 8_000
 THRESHOLD = 0.6
 NEAR = 25
 SPIKE = 6.0
@@ -69,7 +69,7 @@ def closing(text: str) -> tuple[str, str]:
     return (body[: len(body) - len(mark)].rstrip() or body, mark) if mark else (body, "")
 
 
-def features(text: str, limit: str, known: frozenset[str]) -> list[int]:
+def features(text: str, limit: str, known: frozenset[str]) -> np.ndarray:
     """Hashed indices of a text's closing; ``limit`` is '' (not used), 'none', 'chars' or 'bytes'."""
     body, mark = closing(text)
     lines = body[-2000:].rsplit("\n", 3)
@@ -117,7 +117,7 @@ def features(text: str, limit: str, known: frozenset[str]) -> list[int]:
         f.append(f"len={min(len(words[-1]), 12)}|{_shape(tail[-1][:1])}|{sentence}|{is_known}")
     if limit:
         f += [f"limit={limit != 'none'}|{state}", f"limit={limit != 'none'}|mark={bool(mark)}|{sentence}|{is_known}", f"limit={limit}|{is_known}"]
-    return [_h(x) for x in f]
+    return np.array([_h(x) for x in f], dtype=np.int32)
 
 
 def cut_once(text: str, r: float, spread: float) -> str | None:
@@ -136,7 +136,7 @@ def cut_once(text: str, r: float, spread: float) -> str | None:
     return part
 
 
-def fit(rows: list[tuple[list[int], int]], epochs: int = 12, seed: int = 7) -> np.ndarray:
+def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 12, seed: int = 7) -> np.ndarray:
     """L2-regularised logistic regression over hashed indicators (AdaGrad, mini-batches).
 
     Indicators of fewer than MIN_ROWS rows are left out, so that no row is learnt by heart.
@@ -146,10 +146,10 @@ def fit(rows: list[tuple[list[int], int]], epochs: int = 12, seed: int = 7) -> n
         return w
     seen = np.zeros(1 << BITS, dtype=np.int64)
     for f, _ in rows:
-        seen[list(set(f))] += 1
+        seen[np.unique(f)] += 1
     width = max(len(f) for f, _ in rows)
-    x = np.zeros((len(rows), width), dtype=np.int64)
-    on = np.zeros((len(rows), width))
+    x = np.zeros((len(rows), width), dtype=np.int32)
+    on = np.zeros((len(rows), width), dtype=np.float32)
     for i, (f, _) in enumerate(rows):
         x[i, : len(f)], on[i, : len(f)] = f, seen[f] >= MIN_ROWS
     y = np.array([label for _, label in rows], dtype=float)
@@ -166,7 +166,7 @@ def fit(rows: list[tuple[list[int], int]], epochs: int = 12, seed: int = 7) -> n
     return w
 
 
-def score(weights: np.ndarray, f: list[int]) -> float:
+def score(weights: np.ndarray, f: np.ndarray) -> float:
     z = float(np.clip(weights[f].sum(), -30, 30))
     return 1 / (1 + np.exp(-z))
 
@@ -200,11 +200,15 @@ def with_limits(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, key: str, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, frozenset[str]]:
-    """Weights and known words from at most ``rows`` texts, those with the smallest key hashes among all non-blank ones.
+    """Weights and known words from about ``rows`` texts (never more than twice that), drawn by key hash from all non-blank ones.
 
     The bound covers fitting only; limits and scores cover every row.
     """
-    sample = labelled.where(F.length(F.trim("text")) > 0).orderBy(F.xxhash64(F.lit("fit"), key)).limit(rows).select("text", "limit")
+    usable = labelled.where(F.length(F.trim("text")) > 0)
+    share = rows / max(usable.count(), 1)
+    # a hash threshold and not an ordered limit, for which every task would send as many texts
+    drawn = F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1_000_003)) < int(share * 1_000_003) + 1
+    sample = usable.where(drawn).select("text", "limit").limit(2 * rows)
     texts = [(r.text, r.limit) for r in sample.collect()]
     rng = np.random.default_rng(11)
     seen: Counter = Counter()
