@@ -1 +1 @@
-
+"""End-to-end plans that put the operators together."""

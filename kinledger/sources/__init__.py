@@ -1 +1 @@
-
+"""Readers and writers that Spark lacks."""
