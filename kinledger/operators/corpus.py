@@ -61,7 +61,11 @@ def build_entities(register: DataFrame, records: DataFrame) -> DataFrame:
 def entity_keys(entities: DataFrame) -> DataFrame:
     """(kind, key, pos) of every exact key; empty keys are left out."""
     one = [("cin", F.array("cin")), ("name", F.array("name_normalized")), ("core", F.array("name_core")), ("alias", F.col("alternate_names")), ("email_domain", F.col("email_domains")), ("hostname", F.col("hostnames"))]
-    kinds = F.explode(F.flatten(F.array(*[F.transform(keys, lambda k, n=name: F.struct(F.lit(n).alias("kind"), k.alias("key"))) for name, keys in one])))
+
+    def tagged(kind: str, keys):
+        return F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+
+    kinds = F.explode(F.flatten(F.array(*[tagged(kind, keys) for kind, keys in one])))
     return entities.select("pos", kinds.alias("k")).select("k.kind", "k.key", "pos").where("key is not null and key <> ''").distinct()
 
 
