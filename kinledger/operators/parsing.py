@@ -91,9 +91,10 @@ class SheetGrammar:
             m = QUOTED.match(self.text, self.pos)
             if not m:
                 raise Fault("quote never closed", self.pos)
+            if m.end() < len(self.text) and self.text[m.end()] not in ",\r\n":
+                # the quote may belong to a later record, so recovery looks behind the opening one
+                raise Fault("text after closing quote", m.end())
             self.pos = m.end()
-            if self.pos < len(self.text) and self.text[self.pos] not in ",\r\n":
-                raise Fault("text after closing quote", self.pos)
             record.cells.append(m[1].replace('""', '"'))
         else:
             m = PLAIN.match(self.text, self.pos)

@@ -21,10 +21,10 @@ def session_counts(events: DataFrame, ts: str, user: str, gap: str, late: str) -
     return timed.groupBy(F.session_window("_t", gap).alias("w"), F.col(user)).agg(F.count("*").alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def limiter(requests: DataFrame, client: str, ts: str, limit: int, seconds: int) -> DataFrame:
+def limiter(requests: DataFrame, client: str, ts: str, limit: int, seconds: int, late: str = "10 minutes") -> DataFrame:
     """Stream of (client, ts, allowed, retry_after_s): a window opens with the first request after the last one closed.
 
-    State per client is two numbers; it expires when its window has long been over.
+    State per client is two numbers; it expires when the watermark (``late`` behind the newest request) has passed its window.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,7 +43,7 @@ def limiter(requests: DataFrame, client: str, ts: str, limit: int, seconds: int)
                 out.append((key[0], t, count <= limit, wait))
             yield pd.DataFrame(out, columns=["client", "ts", "allowed", "retry_after_s"]).astype({"retry_after_s": "Int64"})
         state.update((start, count))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        state.setTimeoutTimestamp(max(start // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    shaped = requests.select(F.col(client).cast("string").alias("client"), F.col(ts).cast("timestamp").alias("ts"))
-    return shaped.groupBy("client").applyInPandasWithState(decide, "client string, ts timestamp, allowed boolean, retry_after_s long", "start long, count long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    shaped = requests.select(F.col(client).cast("string").alias("client"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return shaped.groupBy("client").applyInPandasWithState(decide, "client string, ts timestamp, allowed boolean, retry_after_s long", "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
