@@ -132,7 +132,7 @@ def assign_splits(sizes: DataFrame, ratios: dict[str, float], seed: int = 0) ->
 
 def split_rows(pairs: DataFrame, key: str = "pair_id", entity: str = "entity_id", cluster: str = "cluster_key", ratios: dict[str, float] | None = None) -> DataFrame:
     """(key, component, split): related rows share a split. Repeated rows stay repeated; an empty table stays empty."""
-    rows, components = related_rows(pairs, key, entity, cluster)
+    rows, components = related_rows(pairs.select(key, entity, cluster), key, entity, cluster)
     splits = assign_splits(components.groupBy("component").agg(F.sum("n").alias("n")), ratios or RATIOS)
     # splits may be many and components may be hot: both sides are one row per node or component
     hot_components = fans(components.groupBy("component").agg(F.count("*").alias("n")), "component")
@@ -143,7 +143,7 @@ def split_rows(pairs: DataFrame, key: str = "pair_id", entity: str = "entity_id"
 
 def leaking_rows(pairs: DataFrame, key: str = "pair_id", entity: str = "entity_id", cluster: str = "cluster_key", split: str = "split") -> DataFrame:
     """Keys of the rows whose component carries more than one recorded split (letter case and outer blanks ignored)."""
-    rows, components = related_rows(pairs, key, entity, cluster)
+    rows, components = related_rows(pairs.select(key, entity, cluster, split), key, entity, cluster)
     at_node = rows.groupBy("node").agg(F.min(_bare(F.col(split))).alias("lo"), F.max(_bare(F.col(split))).alias("hi"))
     verdict = components.join(at_node, "node").groupBy("component").agg((F.min("lo") < F.max("hi")).alias("leaks")).where("leaks")
     hot_components = fans(components.groupBy("component").agg(F.count("*").alias("n")), "component")
