@@ -174,6 +174,7 @@ def score(weights: np.ndarray, f: np.ndarray) -> float:
 def field_limits(docs: DataFrame, text: str, source: str) -> DataFrame:
     """(source, unit, length) of the lengths a source hits at least SPIKE times as often as the NEAR lengths around.
 
+    They must also stand out from the source's other lengths, else a source of few lengths would have nothing but limits.
     Counts cover all rows and are aggregated before any window, so a window sees lengths, never texts.
     """
     sized = docs.where(F.length(text) > 0).select(
@@ -183,7 +184,8 @@ def field_limits(docs: DataFrame, text: str, source: str) -> DataFrame:
     counts = sized.groupBy("source", "s.unit", "s.length").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
     around = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
-    return counts.withColumn("around", around).where((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE * F.greatest("around", F.lit(0.5)))).select("source", "unit", "length")
+    usual = counts.groupBy("source", "unit").agg(F.percentile_approx("n", 0.95).alias("usual"))
+    return counts.withColumn("around", around).join(usual, ["source", "unit"]).where(F.col("n") >= 3 * F.col("usual")).where((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE * F.greatest("around", F.lit(0.5)))).select("source", "unit", "length")
 
 
 def with_limits(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
