@@ -12,6 +12,7 @@ import codecs
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 import tiktoken
@@ -180,7 +181,7 @@ def token_ids(text: Column, folder: str = TOKENIZER_DIR, vocabulary: str = VOCAB
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(s: pd.Series) -> pd.Series:
-        return pd.Series([encode(t, path) for t in s], dtype=object)
+        return pd.Series([np.asarray(encode(t, path), dtype=np.int32) for t in s], dtype=object)
 
     return ids(text)
 
