@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,26 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 32 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application: Spark hands the archive from the driver to every executor."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="kinledger-")) / "kinledger.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, str(source.relative_to(root.parent)))
+        sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
