@@ -136,8 +136,8 @@ def cut_once(text: str, r: float, spread: float) -> str | None:
     return part
 
 
-def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """L2-regularised logistic regression over hashed indicators (AdaGrad, mini-batches).
+def fit(rows: list[tuple[np.ndarray, int]], steps: int = 700, seed: int = 7) -> np.ndarray:
+    """L2-regularised logistic regression over hashed indicators (AdaGrad, mini-batches, at least ``steps`` of them).
 
     Indicators of fewer than MIN_ROWS rows are left out, so that no row is learnt by heart.
     """
@@ -155,7 +155,7 @@ def fit(rows: list[tuple[np.ndarray, int]], epochs: int = 12, seed: int = 7) ->
     y = np.array([label for _, label in rows], dtype=float)
     g2 = np.full(1 << BITS, 1e-6)
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(max(12, -(-steps * 256 // len(rows)))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), 256):
             b = order[lo : lo + 256]
@@ -227,11 +227,12 @@ def train(labelled: DataFrame, key: str, rows: int = TRAIN_ROWS) -> tuple[np.nda
             cuts.append((i, part.rstrip() + " " * int(rng.integers(0, 2)) + mark if mark else part))
     intact = [(i, features(t, "", known), t, limit) for i, (t, limit) in enumerate(texts)]
     cut_features = [(i, features(c, "", known)) for i, c in cuts]
-    # A first fit on one half scores the other; only clear values go into the second fit.
-    halves = [fit([(f, 0) for i, f, _, limit in intact if i % 2 == h and limit == "none"] + [(f, 1) for i, f in cut_features if i % 2 == h]) for h in (0, 1)]
+    # A first fit on one half, drawn at random, scores the other; only clear values go into the second fit.
+    half = rng.integers(0, 2, len(texts))
+    halves = [fit([(f, 0) for i, f, _, limit in intact if half[i] == h and limit == "none"] + [(f, 1) for i, f in cut_features if half[i] == h]) for h in (0, 1)]
     again = []
     for i, f, t, limit in intact:
-        s = score(halves[1 - i % 2], f)
+        s = score(halves[1 - half[i]], f)
         if s < 0.2 or s > 0.8:
             again.append((features(t, limit, known), int(s > 0.8)))
     return fit(again + [(features(c, "none", known), 1) for _, c in cuts]), known
