@@ -136,7 +136,7 @@ def cut_once(text: str, r: float, spread: float) -> str | None:
     return part
 
 
-def fit(rows: list[tuple[np.ndarray, int]], steps: int = 700, seed: int = 7) -> np.ndarray:
+def fit(rows: list[tuple[np.ndarray, int]], steps: int = 3_000, seed: int = 7) -> np.ndarray:
     """L2-regularised logistic regression over hashed indicators (AdaGrad, mini-batches, at least ``steps`` of them).
 
     Indicators of fewer than MIN_ROWS rows are left out, so that no row is learnt by heart.
@@ -147,22 +147,26 @@ def fit(rows: list[tuple[np.ndarray, int]], steps: int = 700, seed: int = 7) ->
     seen = np.zeros(1 << BITS, dtype=np.int64)
     for f, _ in rows:
         seen[np.unique(f)] += 1
-    width = max(len(f) for f, _ in rows)
-    x = np.zeros((len(rows), width), dtype=np.int32)
-    on = np.zeros((len(rows), width), dtype=np.float32)
+    used = np.flatnonzero(seen >= MIN_ROWS)
+    place = np.full(1 << BITS, len(used), dtype=np.int32)
+    place[used] = np.arange(len(used))
+    # rows as places of used indicators, padded with a last place whose weight stays 0
+    x = np.full((len(rows), max(len(f) for f, _ in rows)), len(used), dtype=np.int32)
     for i, (f, _) in enumerate(rows):
-        x[i, : len(f)], on[i, : len(f)] = f, seen[f] >= MIN_ROWS
+        x[i, : len(f)] = place[f]
     y = np.array([label for _, label in rows], dtype=float)
-    g2 = np.full(1 << BITS, 1e-6)
+    v, g2 = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-6)
     rng = np.random.default_rng(seed)
     for _ in range(max(12, -(-steps * 256 // len(rows)))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), 256):
-            b = order[lo : lo + 256]
-            p = 1 / (1 + np.exp(-np.clip((w[x[b]] * on[b]).sum(1), -30, 30)))
-            grad = np.bincount(x[b].ravel(), ((p - y[b])[:, None] * on[b]).ravel(), minlength=1 << BITS) / len(b) + 1e-6 * w
+            b = x[order[lo : lo + 256]]
+            p = 1 / (1 + np.exp(-np.clip(v[b].sum(1), -30, 30)))
+            grad = np.bincount(b.ravel(), np.repeat(p - y[order[lo : lo + 256]], b.shape[1]), minlength=len(v)) / len(b) + 1e-6 * v
+            grad[-1] = 0.0
             g2 += grad * grad
-            w -= 0.25 * grad / np.sqrt(g2)
+            v -= 0.25 * grad / np.sqrt(g2)
+    w[used] = v[:-1]
     return w
 
 
