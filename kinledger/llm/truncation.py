@@ -136,7 +136,7 @@ def cut_once(text: str, r: float, spread: float) -> str | None:
     return part
 
 
-def fit(rows: list[tuple[np.ndarray, int]], steps: int = 3_000, seed: int = 7) -> np.ndarray:
+def fit(rows: list[tuple[np.ndarray, int]], steps: int = 1_500, seed: int = 7) -> np.ndarray:
     """L2-regularised logistic regression over hashed indicators (AdaGrad, mini-batches, at least ``steps`` of them).
 
     Indicators of fewer than MIN_ROWS rows are left out, so that no row is learnt by heart.
