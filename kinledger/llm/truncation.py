@@ -3,12 +3,12 @@
 Positives are intact values cut at random places, negatives the values as they are; a second fit adds the real values
 whose first score is clear, and with them the length-to-limit features (which artificial cuts cannot show). Limits are
 counted over all rows: lengths, in characters or bytes, that a source reaches far more often than their neighbours.
+Words that whole texts use are counted over all rows too; only the fit itself works on a sample.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinledger.runtime import cut
+from kinledger.llm.skew import fans, skew_join
+from kinledger.runtime import BROADCAST_LIMIT_BYTES, cut
 
 BITS = 16
 TRAIN_ROWS = 8_000
@@ -27,7 +28,7 @@ SPIKE = 6.0
 SPIKE_ROWS = 8
 
 MIN_ROWS = 5
-VOCABULARY = 60_000
+ENTRY_BYTES = 64
 
 WORD = re.compile(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]")
 # What systems append where they cut (writers use some of them too).
@@ -69,14 +70,26 @@ def closing(text: str) -> tuple[str, str]:
     return (body[: len(body) - len(mark)].rstrip() or body, mark) if mark else (body, "")
 
 
-def features(text: str, limit: str, known: frozenset[str]) -> np.ndarray:
-    """Hashed indices of a text's closing; ``limit`` is '' (not used), 'none', 'chars' or 'bytes'."""
+def plain(s: str) -> str:
+    return re.sub(r"\d+", "9", s.lower())
+
+
+def last_word(text: str) -> str | None:
+    """The word or sign a text closes with, as the word counts spell it."""
+    tail = WORD.findall(closing(text)[0][-160:])
+    return plain(tail[-1]) if tail else None
+
+
+def features(text: str, limit: str, is_known: bool) -> np.ndarray:
+    """Hashed indices of a text's closing; ``limit`` is '' (not used), 'none', 'chars' or 'bytes'.
+
+    ``is_known`` says whether the last word is one of :func:`known_words`.
+    """
     body, mark = closing(text)
     lines = body[-2000:].rsplit("\n", 3)
     last = lines[-1].strip()
     before = lines[-2].strip() if len(lines) > 1 else ""
     tail = WORD.findall(body[-160:])
-    plain = lambda s: re.sub(r"\d+", "9", s.lower())
     words = [plain(w) for w in tail[-4:]]
     start = body.lstrip()[:200].lower()
     kind = "html" if "<html" in start or start[:2] in ("<p", "<d", "<h", "<!", "<b") else "json" if start[:1] in ("{", "[") else "plain"
@@ -86,7 +99,6 @@ def features(text: str, limit: str, known: frozenset[str]) -> np.ndarray:
     since = re.split(r"[.!?।\n]\s", body[-400:])[-1]
     opened = since.count("(") > since.count(")"), body[-600:].count("<") > body[-600:].count(">"), since.count('"') % 2 == 1
     n_words = len(last.split())
-    is_known = bool(words) and words[-1] in known
     state = f"{sentence}|{kind}|{closed}"
     f = [
         "bias",
@@ -205,10 +217,47 @@ def with_limits(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return base.select(key, "source", "text", F.when(F.col("_at_chars"), "chars").when(F.col("_at_bytes"), "bytes").otherwise("none").alias("limit"))
 
 
-def train(labelled: DataFrame, key: str, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, frozenset[str]]:
-    """Weights and known words from about ``rows`` texts (never more than twice that), drawn by key hash from all non-blank ones.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(s: pd.Series) -> pd.Series:
+    memo: dict[str, str] = {}  # of one batch
+    out = []
+    for t in s:
+        # the last word may be cut itself
+        raw = set(WORD.findall(t)[:-1]) if t else ()
+        out.append(sorted({memo[w] if w in memo else memo.setdefault(w, plain(w)) for w in raw}))
+    return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _last_word(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: last_word(t) if t else None).astype(object)
+
+
+def known_words(labelled: DataFrame) -> DataFrame:
+    """(word) of the words that occur before the end of at least MIN_ROWS texts, counted over all rows."""
+    words = labelled.where("text is not null").select(F.explode(_words("text")).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select("word")
+
+
+def with_known(labelled: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """``labelled`` plus ``is_known``: whether the last word is in ``known``, which takes ``size`` bytes.
+
+    A list too large to broadcast is joined with its hot words (most texts end in a full stop) over several tasks.
+    """
+    ends = labelled.withColumn("word", _last_word("text"))
+    marked = known.withColumn("_known", F.lit(True))
+    if size <= BROADCAST_LIMIT_BYTES:
+        joined = ends.join(F.broadcast(marked), "word", "left")
+    else:
+        ends = cut(ends)
+        joined = skew_join(ends, marked, "word", F.col("text"), fans(ends.groupBy("word").agg(F.count("*").alias("n")), "word"), "left")
+    return joined.withColumn("is_known", F.coalesce("_known", F.lit(False))).drop("word", "_known")
+
+
+def train(labelled: DataFrame, key: str, known: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
+    """Weights from about ``rows`` texts (never more than twice that), drawn by key hash from all non-blank ones.
 
-    The bound covers fitting only; limits and scores cover every row.
+    The bound covers fitting only; limits, known words and scores cover every row.
     """
     usable = labelled.where(F.length(F.trim("text")) > 0)
     share = rows / max(usable.count(), 1)
@@ -217,10 +266,6 @@ def train(labelled: DataFrame, key: str, rows: int = TRAIN_ROWS) -> tuple[np.nda
     sample = usable.where(drawn).select("text", "limit").limit(2 * rows)
     texts = [(r.text, r.limit) for r in sample.collect()]
     rng = np.random.default_rng(11)
-    seen: Counter = Counter()
-    for t, _ in texts:
-        seen.update({re.sub(r"\d+", "9", w.lower()) for w in WORD.findall(t)[:-1]})
-    known = frozenset(w for w, n in seen.most_common(VOCABULARY) if n >= MIN_ROWS)
     cuts = []
     for i, (t, limit) in enumerate(texts):
         part = cut_once(t, rng.random(), rng.random()) if limit == "none" and not closing(t)[1] else None
@@ -229,8 +274,12 @@ def train(labelled: DataFrame, key: str, rows: int = TRAIN_ROWS) -> tuple[np.nda
                 part += "\ufffd"
             mark = MARKS[rng.integers(0, len(MARKS))] if rng.random() < 0.2 else ""
             cuts.append((i, part.rstrip() + " " * int(rng.integers(0, 2)) + mark if mark else part))
-    intact = [(i, features(t, "", known), t, limit) for i, (t, limit) in enumerate(texts)]
-    cut_features = [(i, features(c, "", known)) for i, c in cuts]
+    # the sample's last words only (at most one a text and one a cut), so that no list of all words reaches the driver
+    ends = {w for w in map(last_word, [t for t, _ in texts] + [c for _, c in cuts]) if w}
+    asked = labelled.sparkSession.createDataFrame([(w,) for w in sorted(ends)], "word string")
+    seen = {r.word for r in known.join(F.broadcast(asked), "word", "left_semi").collect()}
+    intact = [(i, features(t, "", last_word(t) in seen), t, limit) for i, (t, limit) in enumerate(texts)]
+    cut_features = [(i, features(c, "", last_word(c) in seen)) for i, c in cuts]
     # A first fit on one half, drawn at random, scores the other; only clear values go into the second fit.
     half = rng.integers(0, 2, len(texts))
     halves = [fit([(f, 0) for i, f, _, limit in intact if half[i] == h and limit == "none"] + [(f, 1) for i, f in cut_features if half[i] == h]) for h in (0, 1)]
@@ -238,20 +287,22 @@ def train(labelled: DataFrame, key: str, rows: int = TRAIN_ROWS) -> tuple[np.nda
     for i, f, t, limit in intact:
         s = score(halves[1 - half[i]], f)
         if s < 0.2 or s > 0.8:
-            again.append((features(t, limit, known), int(s > 0.8)))
-    return fit(again + [(features(c, "none", known), 1) for _, c in cuts]), known
+            again.append((features(t, limit, last_word(t) in seen), int(s > 0.8)))
+    return fit(again + [(features(c, "none", last_word(c) in seen), 1) for _, c in cuts])
 
 
 def score_all(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, p) for every row: probability that the text was cut; null for null, empty and blank texts."""
     labelled = with_limits(docs, key, text, source)
-    weights, known = train(labelled, key)
+    known, seen = cut(known_words(labelled), rows=F.count(F.lit(1)), width=F.sum(F.octet_length("word")))
+    weights = train(labelled, key, known)
 
     @F.pandas_udf(T.DoubleType())
-    def probability(s: pd.Series, limit: pd.Series) -> pd.Series:
-        return pd.Series([score(weights, features(t, k, known)) if t and t.strip() else None for t, k in zip(s, limit, strict=True)], dtype="float64")
+    def probability(s: pd.Series, limit: pd.Series, is_known: pd.Series) -> pd.Series:
+        return pd.Series([score(weights, features(t, k, w)) if t and t.strip() else None for t, k, w in zip(s, limit, is_known, strict=True)], dtype="float64")
 
-    return labelled.select(key, "source", probability("text", "limit").alias("p"))
+    size = seen.rows * ENTRY_BYTES + (seen.width or 0)
+    return with_known(labelled, known, size).select(key, "source", probability("text", "limit", "is_known").alias("p"))
 
 
 def truncated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

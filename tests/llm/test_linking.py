@@ -94,3 +94,13 @@ def test_truncation_on_held_out_cuts(spark):
 @pytest.mark.parametrize("text, mark", [("abc…", "…"), ("abc (contd", "(contd"), ("abc.", ""), ("abc 👍", "emoji"), ("abc.\n-----", "")])
 def test_closing(text, mark):
     assert truncation.closing(text)[1] == mark
+
+
+def test_known_words_cover_all_texts(spark):
+    rows = [(i, f"Letter {i} of Rareword Ltd came. It ends on Rareword" if i % 400 == 0 else f"Letter {i} was read by the desk.", "web") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labelled = truncation.with_limits(df, "doc_id", "text", "source")
+    known = truncation.known_words(labelled)
+    assert "rareword" in {r.word for r in known.collect()}  # 6 of 2,400 texts, too few for a sample to know it
+    small, large = (truncation.with_known(labelled, known, size) for size in (0, 1 << 40))
+    assert sorted(small.collect()) == sorted(large.collect()) and small.where("is_known").count() == 2400
