@@ -142,10 +142,15 @@ def hard_negatives(spark, d):
 
 
 def train_models(spark, d):
-    """Three models on the recorded train split, each with the threshold chosen on validation; metrics on test."""
-    cols = ["token_jaccard", "token_containment", "prefix_share", "length_ratio"]
-    data = cut(table(spark, d, "pairs").where("label is not null").na.drop(subset=cols).select("pair_id", F.lower(F.trim("split")).alias("split"), F.col("label").cast("double").alias("label"), *cols))
-    fitted = model.fit_models(data.where("split = 'train'"), cols, "label", trees=30, rounds=30)
+    """Three models on all features of the recorded train split, each with the threshold chosen on validation; metrics on test.
+
+    Pairs with an empty query or an unknown entity have no features and are left out.
+    """
+    recorded = table(spark, d, "pairs").where("label is not null")
+    made = search.featured_pairs(recorded, _entities(spark, d), with_jaro=True)
+    splits = recorded.select("pair_id", F.lower(F.trim("split")).alias("split"))
+    data = cut(made.join(splits, "pair_id").select("pair_id", "split", F.col("label").cast("double").alias("label"), *features.FEATURES))
+    fitted = model.fit_models(data.where("split = 'train'"), features.FEATURES, "label")
     out = None
     for name, m in fitted.items():
         scored = cut(model.score_with(m, data.where("split in ('validation', 'test')")).select("split", F.col("label").cast("int").alias("label"), "p"))
