@@ -1,7 +1,7 @@
 """Matching entities across sources without keys: probabilistic record linkage.
 
-Passes of blocking (brand as listed or within two edits; former names included) bring pairs together, each attribute is
-compared to an agreement level, expectation-maximisation over the counts of level patterns estimates how often matches
+Passes of blocking bring pairs together, former names included: brand as listed or within two edits; then, within one
+office, the words of the trade, initials, and the sound of the brand's beginning. Each attribute is compared to an agreement level, expectation-maximisation over the counts of level patterns estimates how often matches
 and non-matches show each level, and the posterior of the best pair is the confidence.
 """
 
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinledger.functions.text import clean
-from kinledger.llm.names import brand_links, line_costs, read_names, trade_words
+from kinledger.llm.names import MAX_BRAND, brand_cost, brand_links, corrected, line_costs, phonetic, read_names, trade_words
+from kinledger.llm.skew import fans, salt, spread
 from kinledger.llm.strings import osa
 from kinledger.runtime import cut
 
@@ -29,6 +30,9 @@ LEVELS = {
     "office_level": ["same", "other", "missing"],
     "class_level": ["same", "other", "missing"],
 }
+#: Brand levels that only the further passes meet, and how often matches that the brand pass missed are taken to show
+#: each: those pairs are nearly all non-matches, so that an estimate of their own would follow other differences.
+FURTHER = {"far": 0.06, "loose": 0.46, "initials": 0.46, "other": 0.02}
 # Older words for classes of companies.
 CLASS_WORDS = {"loan company": "ICC", "investment company": "ICC", "asset finance company": "ICC"}
 
@@ -97,6 +101,84 @@ def posterior(p: dict, m: dict, u: dict, share: float) -> float:
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
+def estimate_further(patterns: list[tuple[dict, int]], linked: list[tuple[dict, int]], rounds: int = ROUNDS) -> tuple[dict, dict, float]:
+    """(m, u, share of matches) of the further passes: m is that of the pairs the brand pass links, u and share come from EM."""
+    m = {"brand_level": FURTHER}
+    for a in LEVELS.keys() - {"brand_level"}:
+        g = {v: 0.02 + sum(n for p, n in linked if p[a] == v) for v in LEVELS[a] if v != "missing"}
+        m[a] = {v: x / sum(g.values()) for v, x in g.items()}
+    total = sum(n for _, n in patterns)
+    share, u = 0.3, None
+    weights = [0.0] * len(patterns)
+    for _ in range(rounds):
+        gu = {a: dict.fromkeys(m[a], 0.5) for a in LEVELS}
+        for (p, n), w in zip(patterns, weights, strict=True):
+            for a in LEVELS:
+                if p[a] != "missing":
+                    gu[a][p[a]] += n * (1 - w)
+        u = {a: {v: x / sum(g.values()) for v, x in g.items()} for a, g in gu.items()}
+        weights = [posterior(p, m, u, share) for p, _ in patterns]
+        share = min(max(sum(n * w for (_, n), w in zip(patterns, weights, strict=True)) / total, 1e-6), 1 - 1e-6) if total else share
+    return m, u, share
+
+
+def _initials(brand: str, line: list[str]) -> set[str]:
+    return {brand[0] + "".join(w[0] for w in ws) for ws in (line, [w for w in line if w != "and"]) if ws} if brand else set()
+
+
+def _typed_initials(brand: str, line: list[str]) -> set[str]:
+    """What may be initials of a whole name, if ``brand`` stands alone; the legal form may have left its own."""
+    return {brand.removesuffix(e) for e in ("", "l", "pl") if len(brand.removesuffix(e)) >= 2} if not line and len(brand) <= 8 else set()
+
+
+def block_keys(words: list[str], initials):
+    """UDF (brand, line) -> keys of the further passes."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def keys(brand: pd.Series, line: pd.Series) -> pd.Series:
+        memo: dict[tuple, str] = {}
+        out = []
+        for b, ws in zip(brand, line, strict=True):
+            t = tuple(w for w in ws if w != "and")
+            if t and t not in memo:
+                memo[t] = "w " + " ".join(corrected(list(t), words))
+            k = {f"i {x}" for x in initials(b, list(ws))}
+            if t:
+                k.add(memo[t])
+            if len(b) >= 4:
+                k.add("s " + phonetic(b)[:4])
+            out.append(sorted(k))
+        return pd.Series(out, dtype=object)
+
+    return keys
+
+
+@F.pandas_udf(T.StringType())
+def _further_level(brand: pd.Series, line: pd.Series, listed: pd.Series, meant: pd.Series) -> pd.Series:
+    out = []
+    for b, ws, c, ms in zip(brand, line, listed, meant, strict=True):
+        x, y = phonetic(b), phonetic(c)
+        near = (max(len(x), len(y)) + 1) // 3
+        if not b or not c:
+            out.append("missing")
+        elif _typed_initials(b, list(ws)) & _initials(c, list(ms)):
+            out.append("initials")
+        elif brand_cost(b, c) <= MAX_BRAND:
+            out.append("far")
+        else:
+            out.append("loose" if osa(x, y, near) <= near else "other")
+    return pd.Series(out, dtype=object)
+
+
+def further_pairs(read: DataFrame, listed: DataFrame, links: DataFrame, words: list[str]) -> DataFrame:
+    """Pairs of one office that the brand pass did not form, each once; hot blocks are spread over several tasks."""
+    typed = cut(read.where("office is not null").withColumn("k", F.explode(block_keys(words, _typed_initials)("brand", "line"))).withColumn("k", F.concat_ws("|", "office", "k")))
+    known = listed.where("of_office is not null").withColumn("k", F.explode(block_keys(words, _initials)("listed", "meant"))).withColumn("k", F.concat_ws("|", "of_office", "k"))
+    hot = fans(typed.groupBy("k").agg(F.count("*").alias("n")), "k")
+    both = salt(typed, hot, "k", F.col("brand")).join(spread(known, hot, "k"), ["k", "_salt"]).drop("k", "_salt").distinct()
+    return both.join(links.select("brand", "listed"), ["brand", "listed"], "left_anti")
+
+
 def compare(records: DataFrame, key: str, forms: DataFrame, company: str, offices: list[dict]) -> DataFrame:
     """(key, company, levels): all pairs of a record and a listed company that a blocking pass brings together.
 
@@ -104,18 +186,22 @@ def compare(records: DataFrame, key: str, forms: DataFrame, company: str, office
     """
     office = office_reader(offices)
     words = trade_words(forms, "form")
-    listed = read_names(forms, [company, "office", "class"], "form", words)
+    listed = read_names(forms, [company, "office", "class"], "form", words, bare=True)
     listed = cut(listed.select(company, F.col("brand").alias("listed"), F.col("line").alias("meant"), F.col("prefix").alias("meant_prefix"), office("office").alias("of_office"), class_meant(F.col("class")).alias("of_class")))
-    read = read_names(records, [key, "office", "class"], "name", words)
+    read = read_names(records, [key, "office", "class"], "name", words, bare=True)
     read = cut(read.select(key, "brand", "line", "initials", "prefix", office("office").alias("office"), class_meant(F.col("class")).alias("class")))
-    links = brand_links(read, listed.withColumnRenamed("listed", "brand"))
-    cost = line_costs(listed.withColumnRenamed("listed", "brand"), words)
-    pairs = read.join(links, "brand").join(listed, "listed").withColumn("line_cost", cost("line", "initials", "meant"))
+    branded = listed.where("listed <> ''").withColumnRenamed("listed", "brand")
+    links = brand_links(read.where("brand <> ''"), branded)
+    cost = line_costs(branded, words)
+    first = read.join(links, "brand").join(listed, "listed").withColumn("brand_level", F.when(F.col("brand_cost") == 0, "same").when(F.col("brand_cost") <= 0.5, "sounds").when(F.col("brand_cost") <= 1.5, "near").otherwise("far"))
+    more = further_pairs(read, listed, links, words).withColumn("brand_cost", F.lit(MAX_BRAND)).withColumn("brand_level", _further_level("brand", "line", "listed", "meant"))
+    pairs = first.withColumn("further", F.lit(False)).unionByName(more.withColumn("further", F.lit(True))).withColumn("line_cost", cost("line", "initials", "meant"))
     level = lambda a, b: F.when(a.isNull() | b.isNull(), "missing").when(a == b, "same").otherwise("other")
     return pairs.select(
         key,
         company,
-        F.when(F.col("brand_cost") == 0, "same").when(F.col("brand_cost") <= 0.5, "sounds").when(F.col("brand_cost") <= 1.5, "near").otherwise("far").alias("brand_level"),
+        "further",
+        "brand_level",
         F.when(F.col("line_cost") == 0, "same").when(F.col("line_cost") <= 1.3, "close").when(F.col("line_cost") <= 2.4, "partial").otherwise("other").alias("line_level"),
         F.when(F.col("prefix") == F.col("meant_prefix"), "same").otherwise("other").alias("prefix_level"),
         level(F.col("office"), F.col("of_office")).alias("office_level"),
@@ -128,18 +214,29 @@ def link(records: DataFrame, key: str, forms: DataFrame, company: str, offices:
     """(key, company, confidence): for each record its best company where that is more likely a match than not.
 
     Null or meaningless names give no row, repeated records are linked alike, ties go to the cheaper spelling and then
-    to the smaller company key. Only counts of level patterns (at most 288 rows) reach the driver.
+    to the smaller company key. Only counts of level patterns (some hundreds at most) reach the driver. A further pass's
+    pair counts only for records that the brand pass leaves without a company, and its confidence is shared among the
+    record's candidates.
     """
     pairs = cut(compare(records, key, forms, company, offices))
     names = list(LEVELS)
-    counts = pairs.groupBy(*names).agg(F.count("*").alias("n")).collect()
-    patterns = [({a: r[a] for a in names}, r.n) for r in counts]
+    counts = pairs.groupBy("further", *names).agg(F.count("*").alias("n")).collect()
+    patterns, more = ([({a: r[a] for a in names}, r.n) for r in counts if r.further == f] for f in (False, True))
     m, u, share = estimate(patterns)
-    weights = [(*(p[a] for a in names), posterior(p, m, u, share)) for p, _ in patterns]
+    weights = [(False, *(p[a] for a in names), posterior(p, m, u, share)) for p, _ in patterns]
+    linked = [(p, n) for p, n in patterns if posterior(p, m, u, share) >= accept and p["line_level"] != "other" and p["office_level"] != "other"]
+    m, u, share = estimate_further(more, linked)
+    weights += [(True, *(p[a] for a in names), posterior(p, m, u, share)) for p, _ in more]
     spark = records.sparkSession
-    schema = T.StructType([*(T.StructField(a, T.StringType()) for a in names), T.StructField("confidence", T.DoubleType())])
+    schema = T.StructType([T.StructField("further", T.BooleanType()), *(T.StructField(a, T.StringType()) for a in names), T.StructField("confidence", T.DoubleType())])
     known = F.broadcast(spark.createDataFrame(weights, schema))
-    best = pairs.join(known, names).where((F.col("confidence") >= accept) & (F.col("line_level") != "other") & (F.col("office_level") != "other"))
+    judged = pairs.join(known, ["further", *names]).where((F.col("line_level") != "other") & (F.col("office_level") != "other"))
+    first = judged.where((F.col("confidence") >= accept) & ~F.col("further")).select(key, company, "confidence", "cost")
+    rest = judged.where(F.col("further") & (F.col("brand_level") != "other")).groupBy(key, company).agg(F.max("confidence").alias("p"), F.min("cost").alias("cost")).join(first, key, "left_anti")
+    # a record speaks of one company: its candidates' odds share one denominator
+    odds = F.col("p") / (1 - F.least("p", F.lit(1 - 1e-9)))
+    shared = rest.withColumn("odds", odds).join(rest.groupBy(key).agg(F.sum(odds).alias("all")), key).select(key, company, (F.col("odds") / (1 + F.col("all"))).alias("confidence"), "cost")
+    best = first.unionByName(shared.where(F.col("confidence") >= accept))
     top = best.groupBy(key).agg(F.max_by(F.struct(company, "confidence"), F.struct("confidence", -F.col("cost"), -F.col(company))).alias("b"))
     return top.select(key, F.col(f"b.{company}").alias(company), F.round("b.confidence", 6).alias("confidence"))
 

@@ -117,8 +117,11 @@ class Words:
         return [t]
 
 
-def read_name(raw: str | None, words: Words) -> dict | None:
-    """{brand, line (words of the trade), initials, prefix}; None where nothing identifies anyone."""
+def read_name(raw: str | None, words: Words, bare: bool = False) -> dict | None:
+    """{brand, line (words of the trade), initials, prefix}; None where nothing identifies anyone.
+
+    With ``bare``, names of nothing but words of the trade have the empty brand.
+    """
     if raw is None:
         return None
     s = fold_ascii(raw) or ""
@@ -168,7 +171,7 @@ def read_name(raw: str | None, words: Words) -> dict | None:
             brand.append(t)
     if not brand and short:
         brand, short = [short[0]], short[1:]
-    if not brand:
+    if not brand and not (bare and line):
         return None
     if len(brand) > 1 and short and len("".join(brand)) < 7:
         brand += short
@@ -237,14 +240,14 @@ def brand_cost(typed: str, meant: str) -> float:
 READ_TYPE = T.StructType().add("brand", "string").add("line", T.ArrayType(T.StringType())).add("initials", "string").add("prefix", "string")
 
 
-def read_names(df: DataFrame, keys: list[str], name: str, words: list[str]) -> DataFrame:
+def read_names(df: DataFrame, keys: list[str], name: str, words: list[str], bare: bool = False) -> DataFrame:
     """``keys`` plus the parts of :func:`read_name`; names that identify no one are left out."""
     known = Words(words)
 
     @F.pandas_udf(READ_TYPE)
     def read(s: pd.Series) -> pd.DataFrame:
         empty = {"brand": None, "line": None, "initials": None, "prefix": None}
-        return pd.DataFrame([read_name(x, known) or empty for x in s], columns=READ_TYPE.names)
+        return pd.DataFrame([read_name(x, known, bare) or empty for x in s], columns=READ_TYPE.names)
 
     return df.select(*keys, read(name).alias("r")).select(*keys, "r.*").where("brand is not null")
 

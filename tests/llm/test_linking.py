@@ -104,3 +104,15 @@ def test_known_words_cover_all_texts(spark):
     assert "rareword" in {r.word for r in known.collect()}  # 6 of 2,400 texts, too few for a sample to know it
     small, large = (truncation.with_known(labelled, known, size) for size in (0, 1 << 40))
     assert sorted(small.collect()) == sorted(large.collect()) and small.where("is_known").count() == 2400
+
+
+def test_further_passes_form_pairs_without_the_brand(spark):
+    forms = spark.createDataFrame([(c, f, "Varunapur" if c % 2 else "Sarvodur", "ICC") for c, f in FORMS], "company int, form string, office string, class string")
+    typed = [(i, f.title() + " Limited", "Port Wellam" if c % 2 else "Sarvodur", "ICC") for i, (c, f) in enumerate(FORMS)]
+    # three letters off in one office; nothing like it; another office
+    typed += [(300, "Pulxdqzw Hire Purchase Ltd", "Sarvodur", "ICC"), (301, "Qqeeqqee Hire Purchase Ltd", "Sarvodur", "ICC"), (302, "Pulxdqzw Hire Purchase Ltd", "Varunapur", "ICC")]
+    typed += [(303, "Zurxbqlw Agro Finance Ltd", "Sarvodur", "ICC"), (304, "Temxkqsw Agro Finance Ltd", "Varunapur", "ICC"), (305, "Halxvqnw Gold Loans Ltd", "Sarvodur", "ICC")]
+    records = spark.createDataFrame(typed, "record_id long, name string, office string, class string")
+    pairs = {(r.record_id, r.company) for r in linkage.compare(records, "record_id", forms, "company", OFFICES).where("further").collect()}
+    assert (300, 4) in pairs and (302, 4) not in pairs
+    assert {(303, 100), (304, 101), (305, 122)} <= pairs
