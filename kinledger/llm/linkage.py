@@ -1,8 +1,13 @@
 """Matching entities across sources without keys: probabilistic record linkage.
 
-Passes of blocking bring pairs together, former names included: brand as listed or within two edits; then, within one
-office, the words of the trade, initials, and the sound of the brand's beginning. Each attribute is compared to an agreement level, expectation-maximisation over the counts of level patterns estimates how often matches
-and non-matches show each level, and the posterior of the best pair is the confidence.
+Passes of blocking bring pairs together, present and former names alike: the brand as listed or within two edits of
+letters or sound; then, within one office, the same trade with a brand that begins or ends alike, and the initials of a
+whole name. Each attribute is compared to an agreement level, expectation-maximisation over the counts of level patterns
+estimates how often matches and non-matches show each level, and the posterior of the best pair is the confidence. What
+TESTDATA.md rules out (another office, another line of business) stays out whatever the posterior.
+
+Pairs are formed between distinct readings of records and distinct entries of the list, with the numbers of rows behind
+them, so that a brand of a third of all rows costs as many pairs as it has spellings times trades.
 """
 
 from __future__ import annotations
@@ -15,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinledger.functions.text import clean
-from kinledger.llm.names import MAX_BRAND, brand_cost, brand_links, corrected, line_costs, phonetic, read_names, trade_words
-from kinledger.llm.skew import fans, salt, spread
+from kinledger.llm.names import MAX_BRAND, Words, brand_cost, brand_links, channel, line_costs, phonetic, read_names, reading_key, whole_lines
+from kinledger.llm.skew import fans, salt, skew_join, spread, workers
 from kinledger.llm.strings import osa
 from kinledger.runtime import cut
 
@@ -131,8 +136,12 @@ def _typed_initials(brand: str, line: list[str]) -> set[str]:
     return {brand.removesuffix(e) for e in ("", "l", "pl") if len(brand.removesuffix(e)) >= 2} if not line and len(brand) <= 8 else set()
 
 
-def block_keys(words: list[str], initials):
-    """UDF (brand, line) -> keys of the further passes."""
+#: Letters of a brand's beginning and of its end that a further pass asks to sound alike.
+ENDS = 3
+
+
+def block_keys(words: Words, initials):
+    """UDF (brand, line) -> keys of the further passes: trade and beginning of the brand, trade and its end, initials."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def keys(brand: pd.Series, line: pd.Series) -> pd.Series:
@@ -141,12 +150,11 @@ def block_keys(words: list[str], initials):
         for b, ws in zip(brand, line, strict=True):
             t = tuple(w for w in ws if w != "and")
             if t and t not in memo:
-                memo[t] = "w " + " ".join(corrected(list(t), words))
+                memo[t] = " ".join(words.corrected(t))
             k = {f"i {x}" for x in initials(b, list(ws))}
-            if t:
-                k.add(memo[t])
-            if len(b) >= 4:
-                k.add("s " + phonetic(b)[:4])
+            sound = phonetic(b)
+            if t and len(sound) > ENDS:
+                k |= {f"b {sound[:ENDS]} {memo[t]}", f"e {sound[-ENDS:]} {memo[t]}"}
             out.append(sorted(k))
         return pd.Series(out, dtype=object)
 
@@ -170,44 +178,71 @@ def _further_level(brand: pd.Series, line: pd.Series, listed: pd.Series, meant:
     return pd.Series(out, dtype=object)
 
 
-def further_pairs(read: DataFrame, listed: DataFrame, links: DataFrame, words: list[str]) -> DataFrame:
+def further_pairs(typed: DataFrame, listed: DataFrame, links: DataFrame, words: Words) -> DataFrame:
     """Pairs of one office that the brand pass did not form, each once; hot blocks are spread over several tasks."""
-    typed = cut(read.where("office is not null").withColumn("k", F.explode(block_keys(words, _typed_initials)("brand", "line"))).withColumn("k", F.concat_ws("|", "office", "k")))
+    asked = cut(typed.where("office is not null").withColumn("k", F.explode(block_keys(words, _typed_initials)("brand", "line"))).withColumn("k", F.concat_ws("|", "office", "k")))
     known = listed.where("of_office is not null").withColumn("k", F.explode(block_keys(words, _initials)("listed", "meant"))).withColumn("k", F.concat_ws("|", "of_office", "k"))
-    hot = fans(typed.groupBy("k").agg(F.count("*").alias("n")), "k")
-    both = salt(typed, hot, "k", F.col("brand")).join(spread(known, hot, "k"), ["k", "_salt"]).drop("k", "_salt").distinct()
+    hot = fans(asked.groupBy("k").agg(F.count("*").alias("n")), "k", limit=10_000)
+    both = salt(asked, hot, "k", F.col("t_id")).join(spread(known, hot, "k"), ["k", "_salt"]).drop("k", "_salt").dropDuplicates(["t_id", "f_id"])
     return both.join(links.select("brand", "listed"), ["brand", "listed"], "left_anti")
 
 
+class Compared:
+    """``typed``: record key and t_id; ``listed``: company and f_id; ``pairs``: t_id, f_id, levels and the rows behind each side."""
+
+    def __init__(self, records: DataFrame, key: str, forms: DataFrame, company: str, offices: list[dict]):
+        """``records`` has key, name, office, class; ``forms`` company, form (a name), office, class."""
+        office = office_reader(offices)
+        names = cut(records.where("name is not null").groupBy("name").agg(F.count("*").alias("rows")))
+        words = channel(names, forms)
+        held = read_names(workers(forms, 0, "form"), [company, "office", "class"], "form", words, bare=True).withColumn("f_name", reading_key())
+        held = held.select(company, "f_name", F.col("brand").alias("listed"), F.col("line").alias("meant"), F.col("prefix").alias("meant_prefix"), office("office").alias("of_office"), class_meant(F.col("class")).alias("of_class"))
+        self.listed = cut(held.withColumn("f_id", F.concat_ws("|", "f_name", F.coalesce("of_office", F.lit("?")), F.coalesce("of_class", F.lit("?")))))
+        read = cut(read_names(workers(names, 0, "name"), ["name", "rows"], "name", words, bare=True).withColumn("reading", reading_key()))
+        desk = records.where("name is not null").select(key, "name", office("office").alias("office"), class_meant(F.col("class")).alias("class"))
+        placed = skew_join(desk, read.drop("rows"), "name", F.col(key), fans(read, "name", n="rows"))
+        self.typed = cut(placed.withColumn("t_id", F.concat_ws("|", "reading", F.coalesce("office", F.lit("?")), F.coalesce("class", F.lit("?")))))
+        parts = ["brand", "line", "initials", "prefix", "office", "class"]
+        asked = self.typed.groupBy("t_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in parts])
+        entries = cut(self.listed.groupBy("f_id").agg(F.countDistinct(company).alias("holders"), F.min(company).alias("holder"), *[F.first(c).alias(c) for c in ("listed", "meant", "meant_prefix", "of_office", "of_class")]))
+        branded = entries.where("listed <> ''").withColumnRenamed("listed", "brand")
+        self.asked = asked = cut(whole_lines(asked, branded, words))
+        links = brand_links(asked.where("brand <> ''"), branded)
+        hot = fans(asked.groupBy("brand").agg(F.count("*").alias("n")), "brand", limit=10_000)
+        linked = salt(asked, hot, "brand", F.col("t_id")).join(spread(links, hot, "brand"), ["brand", "_salt"]).drop("_salt")
+        hot = fans(linked.groupBy("listed").agg(F.count("*").alias("n")), "listed", limit=10_000)
+        first = salt(linked, hot, "listed", F.col("t_id")).join(spread(entries, hot, "listed"), ["listed", "_salt"]).drop("_salt")
+        first = first.withColumn("brand_level", F.when(F.col("brand_cost") == 0, "same").when(F.col("brand_cost") <= 0.5, "sounds").when(F.col("brand_cost") <= 1.5, "near").otherwise("far"))
+        more = further_pairs(asked, entries, links, words).withColumn("brand_cost", F.lit(MAX_BRAND)).withColumn("brand_level", _further_level("brand", "line", "listed", "meant"))
+        both, seen = cut(first.withColumn("further", F.lit(False)).unionByName(more.withColumn("further", F.lit(True))), n=F.count(F.lit(1)))
+        costed = workers(both, seen.n, "t_id").withColumn("line_cost", line_costs(words)("line", "initials", "meant", "whole"))
+        level = lambda a, b: F.when(a.isNull() | b.isNull(), "missing").when(a == b, "same").otherwise("other")
+        self.pairs = cut(
+            costed.select(
+                "t_id",
+                "f_id",
+                "n",
+                "holders",
+                "holder",
+                "further",
+                "brand_level",
+                F.when(F.col("line_cost") == 0, "same").when(F.col("line_cost") <= 1.3, "close").when(F.col("line_cost") <= 2.4, "partial").otherwise("other").alias("line_level"),
+                F.when(F.col("prefix") == F.col("meant_prefix"), "same").otherwise("other").alias("prefix_level"),
+                level(F.col("office"), F.col("of_office")).alias("office_level"),
+                level(F.col("class"), F.col("of_class")).alias("class_level"),
+                (F.col("brand_cost") + F.col("line_cost")).alias("cost"),
+            )
+        )
+
+
 def compare(records: DataFrame, key: str, forms: DataFrame, company: str, offices: list[dict]) -> DataFrame:
-    """(key, company, levels): all pairs of a record and a listed company that a blocking pass brings together.
+    """(key, company, further, levels, cost) of every record and listed company that a blocking pass brings together.
 
-    ``records`` has key, name, office, class; ``forms`` company, form (a name), office, class.
+    For looking at single pairs; :func:`link` never expands them.
     """
-    office = office_reader(offices)
-    words = trade_words(forms, "form")
-    listed = read_names(forms, [company, "office", "class"], "form", words, bare=True)
-    listed = cut(listed.select(company, F.col("brand").alias("listed"), F.col("line").alias("meant"), F.col("prefix").alias("meant_prefix"), office("office").alias("of_office"), class_meant(F.col("class")).alias("of_class")))
-    read = read_names(records, [key, "office", "class"], "name", words, bare=True)
-    read = cut(read.select(key, "brand", "line", "initials", "prefix", office("office").alias("office"), class_meant(F.col("class")).alias("class")))
-    branded = listed.where("listed <> ''").withColumnRenamed("listed", "brand")
-    links = brand_links(read.where("brand <> ''"), branded)
-    cost = line_costs(branded, words)
-    first = read.join(links, "brand").join(listed, "listed").withColumn("brand_level", F.when(F.col("brand_cost") == 0, "same").when(F.col("brand_cost") <= 0.5, "sounds").when(F.col("brand_cost") <= 1.5, "near").otherwise("far"))
-    more = further_pairs(read, listed, links, words).withColumn("brand_cost", F.lit(MAX_BRAND)).withColumn("brand_level", _further_level("brand", "line", "listed", "meant"))
-    pairs = first.withColumn("further", F.lit(False)).unionByName(more.withColumn("further", F.lit(True))).withColumn("line_cost", cost("line", "initials", "meant"))
-    level = lambda a, b: F.when(a.isNull() | b.isNull(), "missing").when(a == b, "same").otherwise("other")
-    return pairs.select(
-        key,
-        company,
-        "further",
-        "brand_level",
-        F.when(F.col("line_cost") == 0, "same").when(F.col("line_cost") <= 1.3, "close").when(F.col("line_cost") <= 2.4, "partial").otherwise("other").alias("line_level"),
-        F.when(F.col("prefix") == F.col("meant_prefix"), "same").otherwise("other").alias("prefix_level"),
-        level(F.col("office"), F.col("of_office")).alias("office_level"),
-        level(F.col("class"), F.col("of_class")).alias("class_level"),
-        (F.col("brand_cost") + F.col("line_cost")).alias("cost"),
-    )
+    c = Compared(records, key, forms, company, offices)
+    rows = c.pairs.drop("n", "holders", "holder").join(c.listed.select(company, "f_id").distinct(), "f_id")
+    return c.typed.select(key, "t_id").join(rows, "t_id").drop("t_id", "f_id")
 
 
 def link(records: DataFrame, key: str, forms: DataFrame, company: str, offices: list[dict], accept: float = ACCEPT) -> DataFrame:
@@ -218,9 +253,10 @@ def link(records: DataFrame, key: str, forms: DataFrame, company: str, offices:
     pair counts only for records that the brand pass leaves without a company, and its confidence is shared among the
     record's candidates.
     """
-    pairs = cut(compare(records, key, forms, company, offices))
+    compared = Compared(records, key, forms, company, offices)
+    pairs = compared.pairs
     names = list(LEVELS)
-    counts = pairs.groupBy("further", *names).agg(F.count("*").alias("n")).collect()
+    counts = pairs.groupBy("further", *names).agg(F.sum(F.col("n") * F.col("holders")).alias("n")).collect()
     patterns, more = ([({a: r[a] for a in names}, r.n) for r in counts if r.further == f] for f in (False, True))
     m, u, share = estimate(patterns)
     weights = [(False, *(p[a] for a in names), posterior(p, m, u, share)) for p, _ in patterns]
@@ -229,16 +265,17 @@ def link(records: DataFrame, key: str, forms: DataFrame, company: str, offices:
     weights += [(True, *(p[a] for a in names), posterior(p, m, u, share)) for p, _ in more]
     spark = records.sparkSession
     schema = T.StructType([T.StructField("further", T.BooleanType()), *(T.StructField(a, T.StringType()) for a in names), T.StructField("confidence", T.DoubleType())])
-    known = F.broadcast(spark.createDataFrame(weights, schema))
+    known = F.broadcast(spark.createDataFrame(weights, schema))  # one row per level pattern
     judged = pairs.join(known, ["further", *names]).where((F.col("line_level") != "other") & (F.col("office_level") != "other"))
-    first = judged.where((F.col("confidence") >= accept) & ~F.col("further")).select(key, company, "confidence", "cost")
-    rest = judged.where(F.col("further") & (F.col("brand_level") != "other")).groupBy(key, company).agg(F.max("confidence").alias("p"), F.min("cost").alias("cost")).join(first, key, "left_anti")
+    first = judged.where((F.col("confidence") >= accept) & ~F.col("further")).select("t_id", "holder", "confidence", "cost")
+    rest = judged.where(F.col("further") & (F.col("brand_level") != "other")).groupBy("t_id", "holder").agg(F.max("confidence").alias("p"), F.min("cost").alias("cost"), F.max("holders").alias("holders")).join(first, "t_id", "left_anti")
     # a record speaks of one company: its candidates' odds share one denominator
     odds = F.col("p") / (1 - F.least("p", F.lit(1 - 1e-9)))
-    shared = rest.withColumn("odds", odds).join(rest.groupBy(key).agg(F.sum(odds).alias("all")), key).select(key, company, (F.col("odds") / (1 + F.col("all"))).alias("confidence"), "cost")
+    shared = rest.withColumn("odds", odds).join(rest.groupBy("t_id").agg(F.sum(F.col("holders") * odds).alias("all")), "t_id").select("t_id", "holder", (F.col("odds") / (1 + F.col("all"))).alias("confidence"), "cost")
     best = first.unionByName(shared.where(F.col("confidence") >= accept))
-    top = best.groupBy(key).agg(F.max_by(F.struct(company, "confidence"), F.struct("confidence", -F.col("cost"), -F.col(company))).alias("b"))
-    return top.select(key, F.col(f"b.{company}").alias(company), F.round("b.confidence", 6).alias("confidence"))
+    top = best.groupBy("t_id").agg(F.max_by(F.struct("holder", "confidence"), F.struct("confidence", -F.col("cost"), -F.col("holder"))).alias("b"))
+    chosen = top.select("t_id", F.col("b.holder").alias(company), F.round("b.confidence", 6).alias("confidence"))
+    return skew_join(compared.typed.select(key, "t_id"), chosen, "t_id", F.col(key), fans(compared.asked, "t_id")).select(key, company, "confidence").dropDuplicates([key])
 
 
 def link_records(records: DataFrame, current: DataFrame, offices: list[dict]) -> DataFrame:

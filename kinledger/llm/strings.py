@@ -1,7 +1,10 @@
-"""String distances used by several operators (driver- and worker-side Python)."""
+"""String distances and exact edit-distance indexes used by several operators (driver- and worker-side Python)."""
 
 from __future__ import annotations
 
+#: Up to this length spellings are indexed by deletions (their number grows with the square of the length), beyond it by segments.
+DELETION_LENGTH = 24
+
 
 def osa(a: str, b: str, limit: int) -> int:
     """Optimal string alignment distance (swaps of neighbours cost 1); limit + 1 where it is larger."""
@@ -31,3 +34,32 @@ def deletions(s: str, k: int) -> set[str]:
         level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
         out |= level
     return out
+
+
+def _pieces(n: int, k: int) -> list[tuple[int, int]]:
+    """(start, end) of 2k + 1 segments of a string of length n."""
+    parts = 2 * k + 1
+    edges = [n * i // parts for i in range(parts + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def index_keys(s: str, k: int) -> set[str]:
+    """Keys under which ``s`` is found by :func:`query_keys` of any string within OSA distance k."""
+    out = {"d" + x for x in deletions(s, k)} if len(s) <= DELETION_LENGTH + k else set()
+    if len(s) > DELETION_LENGTH - k:
+        out |= {f"s{len(s)}|{i}|{s[a:b]}" for i, (a, b) in enumerate(_pieces(len(s), k))}
+    return out
+
+
+def query_keys(s: str, k: int) -> set[str]:
+    """Keys of a searched string: deletions, or for long ones its substrings where a segment may have moved.
+
+    k edits touch at most 2k of the 2k + 1 segments (a swap may straddle two), so one stands unchanged, moved by at
+    most k places. Keys of a long string number (2k + 1)^3, whatever its length.
+    """
+    out = {"d" + x for x in deletions(s, k)} if len(s) <= DELETION_LENGTH + k else set()
+    if len(s) > DELETION_LENGTH - k:
+        for n in range(len(s) - k, len(s) + k + 1):
+            for i, (a, b) in enumerate(_pieces(n, k)):
+                out |= {f"s{n}|{i}|{s[a + m : b + m]}" for m in range(-k, k + 1) if 0 <= a + m and b + m <= len(s)}
+    return out

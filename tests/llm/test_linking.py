@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from kinledger.llm import addresses, linkage, names, truncation
-from kinledger.llm.strings import deletions, osa
+from kinledger.llm.strings import deletions, index_keys, osa, query_keys
 
 TOWNS = [
     {"town_id": 1, "town": "Harinpur", "former_town": None, "state_code": "KL", "state_name": "Kelasthan", "pin_prefix": 314},
@@ -14,6 +16,64 @@ def test_osa_and_deletions():
     assert deletions("nexihe", 2) & deletions("nxeihe", 2) and "nxihe" in deletions("nexihe", 1)
 
 
+@pytest.mark.parametrize("k", [1, 2])
+@pytest.mark.parametrize("n", [1, 5, 22, 24, 25, 27, 60, 900])
+def test_edit_keys_miss_nothing(n, k):
+    rng = random.Random(n * 10 + k)
+    for _ in range(60):
+        meant = "".join(rng.choice("abcdefgh") for _ in range(n))
+        typed = meant
+        for _ in range(k):
+            i = rng.randrange(len(typed) + 1)
+            typed = rng.choice([typed[:i] + "x" + typed[i:], typed[:i] + typed[i + 1 :], typed[:i] + "y" + typed[i + 1 :], typed[: i - 1] + typed[i - 1 : i + 1][::-1] + typed[i + 1 :] if i else typed])
+        # two swaps of the same letters are more than two edits
+        assert osa(typed, meant, k) > k or query_keys(typed, k) & index_keys(meant, k)
+
+
+def test_slips_trimmed_and_banded_as_in_full():
+    def full(typed, meant):
+        before, row = [], [1.1 * j for j in range(len(meant) + 1)]
+        for i, a in enumerate(typed, 1):
+            new = [1.1 * i]
+            for j, b in enumerate(meant, 1):
+                sub = 0.0 if a == b else 1.0 if names.adjacent(a, b) or {a, b} <= {"l", "i", "o"} else 1.9
+                extra = 0.8 if i > 1 and a == typed[i - 2] or a == b else 1.1
+                lost = 0.8 if j > 1 and b == meant[j - 2] else 1.0
+                best = min(row[j - 1] + sub, row[j] + extra, new[j - 1] + lost)
+                if i > 1 and j > 1 and a == meant[j - 2] and typed[i - 2] == b:
+                    best = min(best, before[j - 2] + 0.9)
+                new.append(best)
+            before, row = row, new
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        meant = "".join(rng.choice("abio") for _ in range(rng.randrange(1, 9)))
+        typed = list(meant)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(typed) + 1)
+            typed[i : i + rng.randrange(2)] = rng.choice(["", "a", "o", "x"])
+        typed = "".join(typed)
+        want, got = full(typed, meant), names.slips(typed, meant, 2.7)
+        assert abs(want - got) < 1e-9 or want > 2.7 and got > 2.7, (typed, meant, want, got)
+
+
+def test_words_learnt_from_names_that_differ_in_one(spark):
+    brands = [f"{a}{b}{c}" for a in ("makano", "temoki") for b in ("sa", "lu") for c in ("re", "vo", "ti")]
+    listed = spark.createDataFrame([(f"{b} Small Business Credit".upper(),) for b in brands] + [(f"{b} Gold Loans",) for b in brands], "form string")
+    typed = spark.createDataFrame([(f"{b.title()} Small Biz Credit Pvt Ltd",) for b in brands[:6]] + [(f"{b} small business credit",) for b in brands] + [(f"{brands[0]} Odd Loans",), (None,), ("",), ("x " * 9000,)], "name string")
+    learnt = names.estimate_words(typed, listed, ["small", "business", "credit", "gold", "loans"])
+    assert set(learnt) == {"biz"} and set(learnt["biz"]) == {"business"} and learnt["biz"]["business"] < 1
+    assert names.estimate_words(typed.limit(0), listed.limit(0), ["small"]) == {}
+
+
+def test_hot_brand_and_repeated_names(spark):
+    forms = spark.createDataFrame(FORMS, "company int, form string")
+    claims = spark.range(3000).selectExpr("id claim_id", "case id % 3 when 0 then 'Makano Agro Finance Ltd' when 1 then 'Makano Hsg Fin' else concat('Makano Agro Finance ', repeat('Ltd ', cast(id % 5 as int))) end claimed_name")
+    got = names.attribute(claims, "claim_id", "claimed_name", forms, "company", "form")
+    assert {(r.company, r["count"]) for r in got.groupBy("company").count().collect()} == {(1, 2000), (2, 1000)}
+
+
 def test_same_premises(spark):
     rows = [
         (1, "12, Nexihe Road, 4th Floor, Gokarana Colony, Harinpur, KL, 314 043"),
