@@ -171,6 +171,46 @@ def read_sheet_line(line: str | None, dataset: str | None) -> dict:
     return out | {"kind": "data"}
 
 
+RECORD_TYPE = T.ArrayType(T.StructType().add("record_no", "integer").add("starts_at", "integer").add("cells", T.ArrayType(T.StringType())).add("reason", "string").add("error_at", "integer"))
+
+
+def recover_records(line: str | None, dataset: str | None) -> list[dict]:
+    """Every record of a line in which the grammar finds more than one, with cells or the located error.
+
+    A line is one record by contract, so such a line is set apart as a whole; what stands behind a validated record
+    start is read all the same, and judged by the rules of its layout.
+    """
+    layout = LAYOUTS.get(dataset)
+    if line is None or layout is None:
+        return []
+    records = list(SheetGrammar(line).file())
+    if len(records) < 2:
+        return []
+    out = []
+    for i, r in enumerate(records):
+        if r.error:
+            out.append({"record_no": i, "starts_at": r.start, "cells": None, "reason": r.error, "error_at": r.error_at})
+            continue
+        end = records[i + 1].start if i + 1 < len(records) else len(line)
+        read = read_sheet_line(line[r.start : end].rstrip("\r\n"), dataset)
+        out.append({"record_no": i, "starts_at": r.start, "cells": read["cells"], "reason": read["reason"] if read["kind"] != "furniture" else "no data", "error_at": read["error_at"] if read["error_at"] is None else r.start + read["error_at"]})
+    return out
+
+
+@F.pandas_udf(RECORD_TYPE)
+def _recover(line: pd.Series, dataset: pd.Series) -> pd.Series:
+    return pd.Series([recover_records(a, b) for a, b in zip(line, dataset, strict=True)], dtype=object)
+
+
+def recovered_records(df: DataFrame, key: str = "line_id", line: str = "line", dataset: str = "dataset_key") -> DataFrame:
+    """(row_key, dataset_key, record_no, starts_at, cells, reason, error_at) of lines that hold several records.
+
+    Rows with null ``reason`` are valid records found behind an error or behind another record. Narrow, one stage.
+    """
+    each = df.select(F.col(key).alias("row_key"), F.col(dataset).alias("dataset_key"), F.explode(_recover(F.col(line), F.col(dataset))).alias("r"))
+    return each.select("row_key", "dataset_key", "r.*")
+
+
 SHEET_TYPE = T.StructType().add("kind", "string").add("cells", T.ArrayType(T.StringType())).add("reason", "string").add("error_at", "integer")
 
 
@@ -181,7 +221,10 @@ def _read_lines(line: pd.Series, dataset: pd.Series) -> pd.DataFrame:
 
 
 class JsonGrammar:
-    """RFC 8259 by recursive descent; raises Fault with the place of the first fault."""
+    """RFC 8259 by recursive descent; raises Fault with the place of the first fault.
+
+    Values nested deeper than DEPTH are refused: statistics never nest beyond two, so these are a case either way.
+    """
 
     BLANK = re.compile(r"[ \t\n\r]*")
     STRING = re.compile(r'"((?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*)"')

@@ -41,9 +41,13 @@ NUMERIC_FORMATS = {
     "unix_ms": "[0-9]{13}",
     "unix_us": "[0-9]{16}",
 }
-#: Formats of the delivered data's convention: all-numeric dates are day first, so "mdy" has no prior weight.
-DAY_FIRST = [*[f for f in CALENDAR_FORMATS if f != "mdy"], *NUMERIC_FORMATS]
-ANY_ORDER = [*CALENDAR_FORMATS, *NUMERIC_FORMATS]
+FORMATS = [*CALENDAR_FORMATS, *NUMERIC_FORMATS]
+#: The explanation that a text denotes nothing stands beside every reading.
+NOTHING = "nothing"
+#: Prior odds of the explanations. Without a convention all formats are alike; the delivered data's convention is that
+#: all-numeric dates are day first, so that month first is less likely than that a text denotes nothing.
+ANY_ORDER = {f: 1.0 for f in FORMATS} | {NOTHING: 1e-3}
+DAY_FIRST = ANY_ORDER | {"mdy": 1e-9}
 
 
 def zone_names(spark: SparkSession) -> dict[str, str]:
@@ -140,19 +144,23 @@ def with_readings(df: DataFrame, text: str, zone: str, formats: list[str]) -> Da
 DECISION_TYPE = T.StructType().add("source", "string").add("format_set", "string").add("format", "string").add("posterior", "double")
 
 
-def _mixture(pdf: pd.DataFrame) -> pd.DataFrame:
-    """EM over the format weights of one source; rows are (format set, how many texts have exactly it)."""
-    sets = [s.split("|") for s in pdf["format_set"]]
+def _mixture(pdf: pd.DataFrame, prior: dict[str, float]) -> pd.DataFrame:
+    """EM over the explanations of one source's texts; rows are (format set, how many texts have exactly it).
+
+    Every text may also denote nothing. A format's share is estimated, its prior odds are given.
+    """
+    sets = [[*s.split("|"), NOTHING] for s in pdf["format_set"]]
     counts = pdf["n"].tolist()
     names = sorted({f for s in sets for f in s})
     weight = dict.fromkeys(names, 1.0 / len(names))
+    odds = lambda f: weight[f] * prior[f]
     for _ in range(200):
         gained = dict.fromkeys(names, 0.0)
         for s, n in zip(sets, counts, strict=True):
-            total = sum(weight[f] for f in s)
+            total = sum(map(odds, s))
             for f in s:
-                gained[f] += n * weight[f] / total
-        # half a pseudo-count per format keeps an unseen format possible
+                gained[f] += n * odds(f) / total
+        # half a pseudo-count per explanation keeps an unseen one possible
         new = {f: (gained[f] + 0.5) / (sum(counts) + 0.5 * len(names)) for f in names}
         moved = max(abs(new[f] - weight[f]) for f in names)
         weight = new
@@ -160,29 +168,32 @@ def _mixture(pdf: pd.DataFrame) -> pd.DataFrame:
             break
     rows = []
     for s in sets:
-        total = sum(weight[f] for f in s)
-        best = max(s, key=lambda f: (weight[f], f))
-        rows.append((pdf["source"].iloc[0], "|".join(s), best, weight[best] / total))
+        total = sum(map(odds, s))
+        best = max(s, key=lambda f: (odds(f), f))
+        rows.append((pdf["source"].iloc[0], "|".join(s[:-1]), best, odds(best) / total))
     return pd.DataFrame(rows, columns=["source", "format_set", "format", "posterior"])
 
 
-def normalize_timestamps(df: DataFrame, keys: list[str], text: str, zone: str, source: str, formats: list[str], accept: float = 0.9) -> DataFrame:
+def normalize_timestamps(df: DataFrame, keys: list[str], text: str, zone: str, source: str, prior: dict[str, float], accept: float = 0.9) -> DataFrame:
     """``df`` plus ``format``, ``posterior``, ``n_readings``, ``micros`` (UTC) and ``unresolved``.
 
-    A text with one reading is certain. Of several readings that agree on the instant any does; else the source's
-    mixture decides, and below ``accept`` the row is ``unresolved`` and denotes no instant. Null sources form one source.
+    ``prior`` gives each format (and NOTHING) its prior odds. The source's mixture chooses for every text, also for one
+    with a single reading, which then competes with denoting nothing. Below ``accept`` a row is ``unresolved`` and denotes
+    no instant, unless all its readings agree on the instant. Null sources form one source.
     """
     src = F.coalesce(F.col(source), F.lit("")) if source else F.lit("")
+    formats = [f for f in FORMATS if f in prior]
     read = with_readings(df.select(*keys, src.alias("source"), F.col(text).alias("text"), F.col(zone).alias("zone")), "text", "zone", formats)
     read = read.withColumn("format_set", F.array_join(F.array_sort(F.transform("r", lambda r: r["format"])), "|"))
     # read twice below, and a barrier against predicates that would be pushed into (and repeat) every match
     read = cut(read)
+    # at most one row per source and set of formats, however many texts a source has
     counts = read.where("size(r) > 0").groupBy("source", "format_set").agg(F.count("*").alias("n"))
-    decided = counts.groupBy("source").applyInPandas(_mixture, DECISION_TYPE)
+    decided = counts.groupBy("source").applyInPandas(lambda pdf: _mixture(pdf, prior), DECISION_TYPE)
     joined = read.join(decided, ["source", "format_set"], "left")
     chosen = F.try_element_at(F.filter("r", lambda r: r["format"] == F.col("format")), F.lit(1))["micros"]
     agree = F.size(F.array_distinct(F.transform("r", lambda r: r["micros"]))) == 1
-    unresolved = (F.size("r") > 1) & ~agree & (F.col("posterior") < accept)
+    unresolved = (F.size("r") > 0) & (F.col("posterior") < accept) & ~((F.size("r") > 1) & agree)
     return joined.select(*keys, "format", "posterior", F.size("r").alias("n_readings"), F.when(~unresolved, chosen).alias("micros"), unresolved.alias("unresolved"))
 
 
@@ -195,9 +206,9 @@ def iso_utc(micros: Column) -> Column:
     return F.when(micros.isNotNull(), F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("."), fraction, F.lit("Z")))
 
 
-def record_dates(records: DataFrame, formats: list[str]) -> DataFrame:
+def record_dates(records: DataFrame, prior: dict[str, float]) -> DataFrame:
     """Both date columns of the Record sheet as rows (record_id, field_name, ...) of :func:`normalize_timestamps`."""
     fields = ["issuance", "cancellation"]
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields]))
     long = records.select("record_id", "source_zone", pairs.alias("p")).select("record_id", "source_zone", "p.field_name", "p.text")
-    return normalize_timestamps(long, ["record_id", "field_name"], "text", "source_zone", "source_zone", formats)
+    return normalize_timestamps(long, ["record_id", "field_name"], "text", "source_zone", "source_zone", prior)

@@ -21,6 +21,12 @@ def p4_loaded(spark, d):
     return parsing.split_sheet_rows(table(spark, d, "sheet_rows"))[0].select("row_key", "dataset_key", "serial", "name", "regional_office", "deposits")
 
 
+def p4_recovered(spark, d):
+    """Records read behind a broken quote or a stray line break, and the errors located before them."""
+    found = parsing.recovered_records(table(spark, d, "sheet_rows"))
+    return found.select("row_key", "dataset_key", "record_no", "starts_at", F.get("cells", F.lit(0)).alias("serial"), F.get("cells", F.lit(1)).alias("second_cell"), "reason", "error_at")
+
+
 def p5_found(spark, d):
     return snapshots.register_changes(table(spark, d, "registered_nbfc"))
 
@@ -37,7 +43,7 @@ def p7_ambiguity(spark, d):
     return kept.groupBy("field_name", "format", "unresolved").agg(F.count("*").alias("n"), F.round(F.avg("posterior"), 6).alias("mean_posterior"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_reasons, p4_loaded, p5_found, p7_found, p7_ambiguity)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_reasons, p4_loaded, p4_recovered, p5_found, p7_found, p7_ambiguity)}
 
 _SPACES = "'[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}\\x0b\\x1c-\\x1f]+'"
 _ROW = ", ".join(f"trim(regexp_replace(coalesce({c}, ''), {_SPACES}, ' ', 'g'))" for c in snapshots.COMPARED)

@@ -151,3 +151,20 @@ def test_mixture_settles_by_source_or_marks(spark):
     assert got[100].format == "dmy" and not got[100].unresolved and got[100].posterior > 0.9
     assert got[101].unresolved and got[101].micros is None
     assert not got[102].unresolved and got[102].micros is not None
+
+
+def test_mixture_weighs_month_first_against_nothing(spark):
+    rows = [(1, "03/04/2020", "UTC"), (2, "03/13/2020", "UTC"), (3, "13/03/2020", "UTC")]
+    df = spark.createDataFrame(rows, "id long, text string, zone string")
+    got = {r.id: r for r in timestamps.normalize_timestamps(df, ["id"], "text", "zone", "zone", timestamps.DAY_FIRST).collect()}
+    assert got[1].format == "dmy" and got[1].n_readings == 2 and got[1].posterior > 0.99 and timestamps.NOTHING == got[2].format and got[2].micros is None and got[3].format == "dmy"
+
+
+def test_records_recovered_behind_errors(spark):
+    bad = '7,"Sutazi" Gold Loans,Dhanoli,Town Road\n8,Makano Finance,Dhanoli,Hill Road\nSl. No,name\n9,,Dhanoli,x'
+    rows = [(1, "cancelled_company", bad), (2, "cancelled_company", "5,Fine,Dhanoli,Road"), (3, None, bad), (4, "cancelled_company", None), (5, "cancelled_company", "")]
+    df = spark.createDataFrame(rows, "line_id long, dataset_key string, line string")
+    got = [(r.row_key, r.record_no, r.reason, r.error_at, r.cells) for r in parsing.recovered_records(df).orderBy("record_no").collect()]
+    assert got[0] == (1, 0, "text after closing quote", 10, None) and got[1][:3] == (1, 1, None) and got[1][4][1] == "Makano Finance"
+    assert [g[2] for g in got[2:]] == ["2 cells instead of 4", "no name"]
+    assert parsing.recovered_records(df.limit(0)).collect() == []
