@@ -48,6 +48,11 @@ def p8_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", tokenizer.token_ids(F.col("text")).alias("ids"))
 
 
+def p8_decoded(spark, d):
+    """Round trip: the ids of every document through the incremental decoder."""
+    return p8_ids(spark, d).select("doc_id", tokenizer.decoded(F.col("ids")).alias("text"))
+
+
 def p9_packing(spark, d):
     sizes = table(spark, d, "documents").select("doc_id", tokenizer.token_count(F.col("text")).alias("n_tokens"))
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
@@ -61,11 +66,12 @@ def p10_share_by_source(spark, d):
     return truncation.share_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p6_found, p6_links, p8_ids, p9_packing, p10_found, p10_share_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p6_found, p6_links, p8_ids, p8_decoded, p9_packing, p10_found, p10_share_by_source)}
 
 _BARE = "lower(regexp_replace({}, '^[\\s\\x{{00a0}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{3000}}]+$', '', 'g'))"
 
 SQL = {
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p1_found": f"""
 WITH RECURSIVE rows AS (
   SELECT pair_id, {_BARE.format('split')} AS split,

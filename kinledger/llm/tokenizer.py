@@ -1,8 +1,9 @@
 """Corpus encoding with a public byte-level BPE as a streaming transducer of constant memory.
 
-A text goes through in blocks. Within a block everything up to the last boundary that no later character can move is
-encoded at once; a piece without such a boundary (a run of one character class longer than a block) goes through
-:class:`PieceTransducer`, byte by byte.
+Every text, of whatever length, goes through one machine (:class:`Transducer`): characters are read in blocks, the
+pre-tokenizer gives off a piece once :data:`AHEAD` further characters show that it can't change, and the piece goes
+byte by byte through :class:`PieceTransducer`, which gives off a token once no later byte can change it. Pieces met
+before come from a table of bounded size. Decoding is an incremental byte-to-text state machine.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,13 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK = 8192
 # Fixed value: the pre-tokenizing pattern of the public byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Places between two characters where every tokenization has a boundary, whatever surrounds them.
-SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])")
+#: The same pattern, white space by its Unicode property (this library's \s also has four control characters).
+PIECES = regex.compile(PATTERN.replace("[^\\s", "[^\\p{White_Space}").replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}"))
+#: Characters behind a piece that can still change it: the two letters of a contraction (a run's end needs but one).
+AHEAD = 2
+#: Pieces kept with their ids.
+PIECES_KEPT = 200_000
+RUNS = {name: regex.compile(p) for name, p in {"letters": r"\p{L}+", "numbers": r"\p{N}+", "signs": r"[^\p{White_Space}\p{L}\p{N}]+", "blanks": r"\p{White_Space}+"}.items()}
 
 
 @functools.lru_cache(maxsize=4)
@@ -36,6 +43,16 @@ def load(path: str) -> tuple[tiktoken.Encoding, dict[bytes, int]]:
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
 
 
+_LOOKAHEAD: dict[int, int] = {}
+
+
+def lookahead(ranks: dict[bytes, int]) -> int:
+    """Bytes after which a token of the merge list is certain: its longest token."""
+    if id(ranks) not in _LOOKAHEAD:
+        _LOOKAHEAD[id(ranks)] = max(map(len, ranks))
+    return _LOOKAHEAD[id(ranks)]
+
+
 class PieceTransducer:
     """Exact BPE of one piece, fed byte by byte.
 
@@ -45,12 +62,11 @@ class PieceTransducer:
     stable, and emitted, once the back-pointers of all those positions agree on it.
     """
 
-    def __init__(self, encoding: tiktoken.Encoding, ranks: dict[bytes, int]):
+    def __init__(self, encoding: tiktoken.Encoding, ranks: dict[bytes, int], fits: dict[tuple[int, int], bool] | None = None):
         self.single = encoding._core_bpe.encode_single_piece
         self.ranks = ranks
-        self.lookahead = max(map(len, ranks))
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.text: dict[int, bytes] = {}
+        self.lookahead = lookahead(ranks)
+        self.fits = {} if fits is None else fits
         self.window = b""
         self.n = 0
         #: position: (last token of the prefix that ends there, its length)
@@ -113,57 +129,100 @@ class PieceTransducer:
         return self.emit(final=True) if self.n > self.base else []
 
 
-def blocks(text: str, size: int = BLOCK) -> Iterator[tuple[str, bool]]:
-    """(part, is_one_piece): parts whose encodings concatenate to that of ``text``.
+class Transducer:
+    """Characters in, ids out, in constant memory: a buffer of a few blocks, the open piece's window, a bounded table."""
 
-    A part ends at a safe boundary at least two characters before the end of what has been read, so that no pattern
-    can look beyond it. A buffer without one is read on until a boundary or the end comes.
-    """
-    start, end = 0, size
-    while start < len(text):
-        if end >= len(text):
-            rest = text[start:]
-            yield rest, len(rest) > 2 * size and SAFE.search(rest) is None
-            return
-        at = 0
-        for m in SAFE.finditer(text, max(start + 1, end - 512), end):
-            at = m.start()
-        if not at:
-            for m in SAFE.finditer(text, start + 1, end):
-                at = m.start()
-        if at > start:
-            yield text[start:at], False
-            start, end = at, at + size
-            continue
-        m = SAFE.search(text, start + 1)
-        at = m.start() if m else len(text)
-        part = text[start:at]
-        yield part, True
-        start, end = at, at + size
+    def __init__(self, path: str, block: int = BLOCK):
+        self.encoding, self.ranks = load(path)
+        self.block = block
+        self.known: dict[str, list[int]] = {}
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.pieces = 0  # pieces that went through byte by byte
+        self.reset()
+
+    def reset(self) -> None:
+        self.buffer = ""
+        self.open: PieceTransducer | None = None
+        self.run: regex.Pattern | None = None
+
+    def _machine(self) -> PieceTransducer:
+        self.pieces += 1
+        return PieceTransducer(self.encoding, self.ranks, self.fits)
+
+    def _piece(self, piece: str) -> list[int]:
+        machine, out = self._machine(), []
+        for byte in piece.encode():
+            out += machine.push(byte)
+        out += machine.finish()
+        if len(self.known) >= PIECES_KEPT:
+            self.known.clear()
+        if len(piece) <= 64:
+            self.known[piece] = out
+        return out
+
+    def _push(self, text: str) -> list[int]:
+        out: list[int] = []
+        for byte in text.encode():
+            out += self.open.push(byte)
+        return out
+
+    def _go_on(self, last: bool) -> list[int]:
+        """Feed the open piece; a run of blanks keeps its last one back, which belongs to what follows."""
+        m = self.run.match(self.buffer)
+        end = m.end() if m else 0
+        closed = end < len(self.buffer) or last
+        held = 1 if self.run is RUNS["blanks"] and end and (end < len(self.buffer) or not last) else 0
+        out = self._push(self.buffer[: end - held])
+        self.buffer = self.buffer[end - held :]
+        if closed:
+            out += self.open.finish()
+            self.open = self.run = None
+        return out
+
+    def feed(self, text: str, last: bool = False) -> list[int]:
+        """Ids that became certain with ``text``; with ``last`` all that are left."""
+        self.buffer += text
+        out: list[int] = []
+        if self.open is not None:
+            out += self._go_on(last)
+            if self.open is not None:
+                return out
+        pieces = PIECES.findall(self.buffer)
+        end = len(self.buffer)
+        while pieces and not last and end > len(self.buffer) - AHEAD:
+            end -= len(pieces.pop())
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            found = [ids if ids is not None else self._piece(piece) for ids, piece in zip(found, pieces, strict=True)]
+        out += itertools.chain.from_iterable(found)
+        self.buffer = self.buffer[end:] if not last else ""
+        if len(self.buffer) > self.block:
+            # one piece, longer than a block and still open: what is read of it is certain
+            first = self.buffer[1] if self.buffer[0] == " " and not RUNS["blanks"].match(self.buffer, 1) else self.buffer[0]
+            self.run = next(r for r in RUNS.values() if r.match(first))
+            self.open = self._machine()
+            if first is not self.buffer[0] and self.buffer[0] == " " and self.run is not RUNS["blanks"]:
+                out += self._push(" ")
+                self.buffer = self.buffer[1:]
+            out += self._go_on(False)
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        self.reset()
+        out: list[int] = []
+        for at in range(0, len(text), self.block):
+            out += self.feed(text[at : at + self.block])
+        return out + self.feed("", last=True)
+
+
+@functools.lru_cache(maxsize=4)
+def transducer(path: str, block: int = BLOCK) -> Transducer:
+    return Transducer(path, block)
 
 
 def encode(text: str | None, path: str, block: int = BLOCK) -> list[int]:
     """Ids of ``text``; null and empty texts have none."""
-    if not text:
-        return []
-    encoding, ranks = load(path)
-    if len(text) <= block:
-        return encoding.encode_ordinary(text)
-    out: list[int] = []
-    for part, one in blocks(text, block):
-        pieces = regex.findall(PATTERN, part) if one else []
-        if not one:
-            out += encoding.encode_ordinary(part)
-            continue
-        for piece in pieces:
-            if len(piece) <= block:
-                out += encoding._core_bpe.encode_single_piece(piece.encode())
-                continue
-            transducer = PieceTransducer(encoding, ranks)
-            for byte in piece.encode():
-                out += transducer.push(byte)
-            out += transducer.finish()
-    return out
+    return transducer(path, block).encode(text) if text else []
 
 
 def decode(ids: list[int], path: str) -> Iterator[str]:
@@ -186,6 +245,17 @@ def token_ids(text: Column, folder: str = TOKENIZER_DIR, vocabulary: str = VOCAB
     return ids(text)
 
 
+def decoded(ids: Column, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Column:
+    """STRING: the text of an array of ids; null for a null array, the empty text for an empty one."""
+    path = f"{folder}/{vocabulary}"
+
+    @F.pandas_udf(T.StringType())
+    def text(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: "".join(decode(x, path)) if x is not None else None).astype(object)
+
+    return text(ids)
+
+
 def token_count(text: Column, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> Column:
     path = f"{folder}/{vocabulary}"
 

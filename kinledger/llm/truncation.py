@@ -1,9 +1,12 @@
 """Text cut off by field limits or in transfer: hashed logistic regression trained on artificially cut texts.
 
-Positives are intact values cut at random places, negatives the values as they are; a second fit adds the real values
-whose first score is clear, and with them the length-to-limit features (which artificial cuts cannot show). Limits are
-counted over all rows: lengths, in characters or bytes, that a source reaches far more often than their neighbours.
-Words that whole texts use are counted over all rows too; only the fit itself works on a sample.
+Positives are nothing but artificial cuts of intact values: at random places, near the end, at the field limits of the
+value's own source, some with the remark behind them that another sampled text closes with. Negatives are the values as
+they are; a first fit on one half shows which values of the other half are hardly intact, and these are left out (never
+taken as positives). Limits are counted over all rows: lengths, in characters or bytes, that a source reaches far more
+often than their neighbours. Words that texts use before their end are counted over all rows too; only the fit itself
+works on a sample, which is drawn, cut and turned into feature numbers on the executors and depends on the rows alone,
+not on their order or partitions.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from kinledger.runtime import BROADCAST_LIMIT_BYTES, cut
 BITS = 16
 TRAIN_ROWS = 8_000
 THRESHOLD = 0.6
+#: Values as they are that the other half's fit gives more than this are not taken as intact.
+DOUBT, HALF_STEPS = 0.8, 600
 NEAR = 25
 SPIKE = 6.0
 SPIKE_ROWS = 8
@@ -31,8 +36,11 @@ MIN_ROWS = 5
 ENTRY_BYTES = 64
 
 WORD = re.compile(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]")
-# What systems append where they cut (writers use some of them too).
-MARKS = ["...", "…", "<more>", "(contd", "(contd.", "(contd.)", "[...]", "[…]", "[truncated]", "(more)", "[more]", "--- next part missing ---"]
+#: A remark that closes a text: dots, a short bracketed one (which may lack its closing bracket), one between dashes.
+REMARK = re.compile(r"\s*(?:\.{2,}|…|[\[(<](?:\.{2,}|…|[\p{L}][\p{L} .]{1,24})(?:[\])>]|$)|-{2,} ?[\p{L}][\p{L} ]{1,38}-{2,})$")
+#: Shares of the cuts that get another text's remark, that are made at a limit of the source where the text is longer,
+#: and of the intact values that count as being at a limit by chance.
+REMARKED, AT_LIMIT, BY_CHANCE = 0.2, 0.4, 0.02
 RULE = re.compile(r"(?:\s*\n|^)\s*([-=*_~#])\1{4,}\s*$")
 EMOJI = re.compile(r"\s*[\U0001F000-\U0001FAFF\u2600-\u27bf\ufe0f\u200d]+$")
 SENTENCE_END = re.compile(r"[.!?।]['\")\]]?$|[।.!?]$")
@@ -60,18 +68,18 @@ def _shape(s: str) -> str:
 
 
 def closing(text: str) -> tuple[str, str]:
-    """(text without outer blanks, a trailing rule and a trailing cut mark; the mark or '')."""
+    """(text without outer blanks, a trailing rule and a closing remark; the remark or '')."""
     body = text.rstrip()
     body = RULE.sub("", body) or body
     bare = EMOJI.sub("", body)
     if bare and bare != body:
         return bare, "emoji"
-    mark = max((m for m in MARKS if body.endswith(m)), key=len, default="")
-    return (body[: len(body) - len(mark)].rstrip() or body, mark) if mark else (body, "")
+    m = REMARK.search(body, max(0, len(body) - 80))
+    return (body[: m.start()].rstrip() or body, m[0].strip()) if m else (body, "")
 
 
 def plain(s: str) -> str:
-    return re.sub(r"\d+", "9", s.lower())
+    return re.sub(r"\p{Nd}+", "9", s.lower())
 
 
 def last_word(text: str) -> str | None:
@@ -103,7 +111,8 @@ def features(text: str, limit: str, is_known: bool) -> np.ndarray:
     f = [
         "bias",
         f"state={state}",
-        f"mark={mark}",
+        f"mark={mark.lower()}",
+        f"markshape={_shape(mark[:1])}{_shape(mark[-1:])}|{min(len(mark.split()), 4)}",
         f"mark={bool(mark)}|{state}|{is_known}",
         f"end={_shape(end)}|{kind}",
         f"end2={_shape(body[-2:])}",
@@ -200,13 +209,13 @@ def field_limits(docs: DataFrame, text: str, source: str) -> DataFrame:
     counts = sized.groupBy("source", "s.unit", "s.length").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
     around = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
-    usual = counts.groupBy("source", "unit").agg(F.percentile_approx("n", 0.95).alias("usual"))
+    # the tested length itself must not be the measure: in a source of few lengths the 95th percentile is the largest count
+    usual = counts.groupBy("source", "unit").agg(F.least(F.percentile_approx("n", 0.95), 10 * F.percentile_approx("n", 0.5)).alias("usual"))
     return counts.withColumn("around", around).join(usual, ["source", "unit"]).where(F.col("n") >= 3 * F.col("usual")).where((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE * F.greatest("around", F.lit(0.5)))).select("source", "unit", "length")
 
 
-def with_limits(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+def with_limits(docs: DataFrame, key: str, text: str, source: str, limits: DataFrame) -> DataFrame:
     """(key, source, text, limit) where limit is 'chars', 'bytes' or 'none'."""
-    limits = cut(field_limits(docs, text, source))
     base = docs.select(F.col(key), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"), F.length(text).alias("_chars"), F.octet_length(text).alias("_bytes"))
     # A few lengths per source; broadcast only when their number is small, else the join is left to Spark.
     few = limits.count() <= 100_000
@@ -217,26 +226,20 @@ def with_limits(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return base.select(key, "source", "text", F.when(F.col("_at_chars"), "chars").when(F.col("_at_bytes"), "bytes").otherwise("none").alias("limit"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _words(s: pd.Series) -> pd.Series:
-    memo: dict[str, str] = {}  # of one batch
-    out = []
-    for t in s:
-        # the last word may be cut itself
-        raw = set(WORD.findall(t)[:-1]) if t else ()
-        out.append(sorted({memo[w] if w in memo else memo.setdefault(w, plain(w)) for w in raw}))
-    return pd.Series(out, dtype=object)
-
-
 @F.pandas_udf(T.StringType())
 def _last_word(s: pd.Series) -> pd.Series:
     return s.map(lambda t: last_word(t) if t else None).astype(object)
 
 
 def known_words(labelled: DataFrame) -> DataFrame:
-    """(word) of the words that occur before the end of at least MIN_ROWS texts, counted over all rows."""
-    words = labelled.where("text is not null").select(F.explode(_words("text")).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select("word")
+    """(word) of the words and signs that occur before the end of at least MIN_ROWS texts, counted over all rows.
+
+    The last word of a text may be cut itself and does not count there. Native expressions, each text once.
+    """
+    plain_text = F.regexp_replace(F.lower("text"), "\\p{Nd}+", "9")
+    words = F.regexp_extract_all(plain_text, F.lit("[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s]"), F.lit(0))
+    each = labelled.where(F.length("text") > 0).select(words.alias("w")).where("size(w) > 1").select(F.explode(F.array_distinct(F.slice("w", F.lit(1), F.size("w") - 1))).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select("word")
 
 
 def with_known(labelled: DataFrame, known: DataFrame, size: int) -> DataFrame:
@@ -254,54 +257,83 @@ def with_known(labelled: DataFrame, known: DataFrame, size: int) -> DataFrame:
     return joined.withColumn("is_known", F.coalesce("_known", F.lit(False))).drop("word", "_known")
 
 
-def train(labelled: DataFrame, key: str, known: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights from about ``rows`` texts (never more than twice that), drawn by key hash from all non-blank ones.
+DRAWN = T.ArrayType(T.StructType().add("part", "string").add("label", "integer").add("limit", "string"))
+
+
+def _cuts(text: str, limit: str, lengths: list, seed: int, remarks: list[str]) -> list[tuple[str, int, str]]:
+    """A sampled value as a negative, and an artificial cut of it as a positive; what is drawn depends on ``seed`` alone."""
+    rng = np.random.default_rng(seed & (2**63 - 1))
+    r = rng.random(8)
+    if limit != "none":
+        return []  # most values at a limit are cut: neither intact nor cut by us
+    out = [(text, 0, "chars" if r[0] < BY_CHANCE else "none")]
+    at = [(x["unit"], x["length"]) for x in lengths if x["length"] < (len(text) if x["unit"] == "chars" else len(text.encode()))]
+    if at and r[1] < AT_LIMIT:
+        unit, n = at[int(r[2] * len(at))]
+        part = text[:n] if unit == "chars" else text.encode()[:n].decode("utf-8", "ignore")
+        if part.strip() and not SENTENCE_END.search(part.rstrip()[-3:]):
+            return [*out, (part, 1, unit)]
+    part = cut_once(text, r[3], r[4]) if not closing(text)[1] else None
+    if part is not None:
+        if r[5] < 0.05:
+            part += "\ufffd"
+        if remarks and r[6] < REMARKED:
+            part = part.rstrip() + " " * int(r[7] * 2) + remarks[int(rng.random() * len(remarks))]
+        out.append((part, 1, "none"))
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def _remark(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: closing(t)[1]).astype(object)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _features(s: pd.Series, limit: pd.Series, is_known: pd.Series) -> pd.Series:
+    return pd.Series([features(t, k, w) for t, k, w in zip(s, limit, is_known, strict=True)], dtype=object)
+
 
-    The bound covers fitting only; limits, known words and scores cover every row.
+def train(labelled: DataFrame, key: str, known: DataFrame, size: int, limits: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
+    """Weights from about ``rows`` texts (never more than twice that), drawn by the hash of key and text from all non-blank ones.
+
+    The bound covers fitting only; limits, known words and scores cover every row. The driver gets feature numbers and
+    closing remarks (at most 80 characters each), never texts.
     """
     usable = labelled.where(F.length(F.trim("text")) > 0)
     share = rows / max(usable.count(), 1)
     # a hash threshold and not an ordered limit, for which every task would send as many texts
-    drawn = F.pmod(F.xxhash64(F.lit("fit"), key), F.lit(1_000_003)) < int(share * 1_000_003) + 1
-    sample = usable.where(drawn).select("text", "limit").limit(2 * rows)
-    texts = [(r.text, r.limit) for r in sample.collect()]
-    rng = np.random.default_rng(11)
-    cuts = []
-    for i, (t, limit) in enumerate(texts):
-        part = cut_once(t, rng.random(), rng.random()) if limit == "none" and not closing(t)[1] else None
-        if part is not None:
-            if rng.random() < 0.05:
-                part += "\ufffd"
-            mark = MARKS[rng.integers(0, len(MARKS))] if rng.random() < 0.2 else ""
-            cuts.append((i, part.rstrip() + " " * int(rng.integers(0, 2)) + mark if mark else part))
-    # the sample's last words only (at most one a text and one a cut), so that no list of all words reaches the driver
-    ends = {w for w in map(last_word, [t for t, _ in texts] + [c for _, c in cuts]) if w}
-    asked = labelled.sparkSession.createDataFrame([(w,) for w in sorted(ends)], "word string")
-    seen = {r.word for r in known.join(F.broadcast(asked), "word", "left_semi").collect()}
-    intact = [(i, features(t, "", last_word(t) in seen), t, limit) for i, (t, limit) in enumerate(texts)]
-    cut_features = [(i, features(c, "", last_word(c) in seen)) for i, c in cuts]
-    # A first fit on one half, drawn at random, scores the other; only clear values go into the second fit.
-    half = rng.integers(0, 2, len(texts))
-    halves = [fit([(f, 0) for i, f, _, limit in intact if half[i] == h and limit == "none"] + [(f, 1) for i, f in cut_features if half[i] == h]) for h in (0, 1)]
-    again = []
-    for i, f, t, limit in intact:
-        s = score(halves[1 - half[i]], f)
-        if s < 0.2 or s > 0.8:
-            again.append((features(t, limit, last_word(t) in seen), int(s > 0.8)))
-    return fit(again + [(features(c, "none", last_word(c) in seen), 1) for _, c in cuts])
+    seed = F.xxhash64(F.lit("fit"), F.col(key).cast("string"), "text")
+    by_source = limits.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("unit", "length"))).alias("lengths"))
+    drawn = usable.withColumn("seed", seed).where(F.pmod("seed", F.lit(1_000_003)) < int(share * 1_000_003) + 1).limit(2 * rows)
+    sample = cut(drawn.join(by_source, "source", "left").select("text", "limit", "seed", F.coalesce("lengths", F.array().cast("array<struct<unit:string,length:int>>")).alias("lengths")))
+    remarks = sorted(r.m for r in sample.select(_remark("text").alias("m")).collect() if r.m and r.m != "emoji")
+
+    @F.pandas_udf(DRAWN)
+    def draw(text: pd.Series, limit: pd.Series, lengths: pd.Series, seed: pd.Series) -> pd.Series:
+        return pd.Series([[{"part": p, "label": y, "limit": k} for p, y, k in _cuts(*x, remarks)] for x in zip(text, limit, lengths, seed, strict=True)], dtype=object)
+
+    parts = sample.select("seed", F.explode(draw("text", "limit", "lengths", "seed")).alias("d")).select("seed", "d.*").withColumnRenamed("part", "text")
+    found = with_known(parts, known, size).select("seed", "label", _features("text", F.lit(""), "is_known").alias("plain"), _features("text", "limit", "is_known").alias("full"))
+    rows_ = sorted((r.seed, r.label, r.plain, r.full) for r in found.collect())
+    plain_rows = [(np.array(p, dtype=np.int32), y) for _, y, p, _ in rows_]
+    half = [s & 1 for s, *_ in rows_]
+    halves = [fit([x for x, h in zip(plain_rows, half, strict=True) if h == side], HALF_STEPS) for side in (0, 1)]
+    doubtful = [y == 0 and score(halves[1 - h], f) > DOUBT for (f, y), h in zip(plain_rows, half, strict=True)]
+    return fit([(np.array(f, dtype=np.int32), y) for (_, y, _, f), out in zip(rows_, doubtful, strict=True) if not out])
 
 
 def score_all(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, source, p) for every row: probability that the text was cut; null for null, empty and blank texts."""
-    labelled = with_limits(docs, key, text, source)
+    limits = cut(field_limits(docs, text, source))
+    labelled = with_limits(docs, key, text, source, limits)
     known, seen = cut(known_words(labelled), rows=F.count(F.lit(1)), width=F.sum(F.octet_length("word")))
-    weights = train(labelled, key, known)
+    size = seen.rows * ENTRY_BYTES + (seen.width or 0)
+    weights = train(labelled, key, known, size, limits)
 
     @F.pandas_udf(T.DoubleType())
     def probability(s: pd.Series, limit: pd.Series, is_known: pd.Series) -> pd.Series:
         return pd.Series([score(weights, features(t, k, w)) if t and t.strip() else None for t, k, w in zip(s, limit, is_known, strict=True)], dtype="float64")
 
-    size = seen.rows * ENTRY_BYTES + (seen.width or 0)
     return with_known(labelled, known, size).select(key, "source", probability("text", "limit", "is_known").alias("p"))
 
 

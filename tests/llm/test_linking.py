@@ -151,7 +151,7 @@ def test_truncation_on_held_out_cuts(spark):
     assert truncation.truncated(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("text, mark", [("abc…", "…"), ("abc (contd", "(contd"), ("abc.", ""), ("abc 👍", "emoji"), ("abc.\n-----", "")])
+@pytest.mark.parametrize("text, mark", [("abc…", "…"), ("abc (contd", "(contd"), ("abc [rest lost]", "[rest lost]"), ("abc --- part missing ---", "--- part missing ---"), ("seen (twice) here", ""), ("abc.", ""), ("abc 👍", "emoji"), ("abc.\n-----", "")])
 def test_closing(text, mark):
     assert truncation.closing(text)[1] == mark
 
@@ -159,7 +159,7 @@ def test_closing(text, mark):
 def test_known_words_cover_all_texts(spark):
     rows = [(i, f"Letter {i} of Rareword Ltd came. It ends on Rareword" if i % 400 == 0 else f"Letter {i} was read by the desk.", "web") for i in range(2400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    labelled = truncation.with_limits(df, "doc_id", "text", "source")
+    labelled = truncation.with_limits(df, "doc_id", "text", "source", truncation.field_limits(df, "text", "source"))
     known = truncation.known_words(labelled)
     assert "rareword" in {r.word for r in known.collect()}  # 6 of 2,400 texts, too few for a sample to know it
     small, large = (truncation.with_known(labelled, known, size) for size in (0, 1 << 40))
@@ -176,3 +176,14 @@ def test_further_passes_form_pairs_without_the_brand(spark):
     pairs = {(r.record_id, r.company) for r in linkage.compare(records, "record_id", forms, "company", OFFICES).where("further").collect()}
     assert (300, 4) in pairs and (302, 4) not in pairs
     assert {(303, 100), (304, 101), (305, 122)} <= pairs
+
+
+def test_truncation_model_depends_on_rows_alone(spark):
+    rows = [(i, t, "web") for i, t in enumerate(corpus(400))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    models = []
+    for shaped in (df.coalesce(1), df.orderBy(df.doc_id.desc()).repartition(8, "text")):
+        limits = truncation.field_limits(shaped, "text", "source")
+        labelled = truncation.with_limits(shaped, "doc_id", "text", "source", limits)
+        models.append(truncation.train(labelled, "doc_id", truncation.known_words(labelled), 1000, limits))
+    assert (models[0] == models[1]).all() and models[0].any()

@@ -48,3 +48,25 @@ def test_null_and_empty(spark):
     rows = {r.doc_id: r.ids for r in df.select("doc_id", tk.token_ids(F.col("text")).alias("ids")).collect()}
     assert rows == {1: [], 2: [], 3: whole("hi")}
     assert df.limit(0).select(tk.token_count(F.col("text"))).collect() == []
+
+
+def test_every_text_goes_through_the_machine():
+    t = tk.Transducer(PATH, 64)
+    texts = ["a first text", "a first text", "z" * 500, "अ" * 300 + "!" * 200 + " " * 150 + "x", "\x1c\x1d tabs\x85"]
+    for i, text in enumerate(texts):
+        before = t.pieces
+        assert t.encode(text) == whole(text)
+        assert (t.pieces > before) == (i != 1)  # the second time its pieces are known
+    assert len(t.buffer) == 0 and t.open is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=120), st.integers(3, 30))
+def test_any_unicode(text, block):
+    assert tk.encode(text, PATH, block) == whole(text)
+
+
+def test_decoding_is_the_way_back(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "naïve தமிழ் 👩‍👩‍👧"), (4, "x" * 20000)], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", tk.decoded(tk.token_ids(F.col("text"))).alias("t")).collect()}
+    assert got == {1: "", 2: "", 3: "naïve தமிழ் 👩‍👩‍👧", 4: "x" * 20000}
