@@ -37,8 +37,10 @@ LEGAL_FORMS = [
 ]
 # Leading words that never identify a brand.
 CLUSTER_STOP_WORDS = ["THE", "M", "MS", "SHRI", "SHREE", "SRI", "NEW", "INDIAN", "INDIA"]
+# Fixed value: shape of a company number.
 CIN_SHAPE = "^[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}$"
-STRIP_ROUNDS = 8
+# Fixed value: remarks in a name that give former names.
+ALIAS_REMARK = "(?i)\\(\\s*(?:formerly(?:\\s*known\\s+as)?|name\\s+as\\s+per\\s+mca)\\s*[:\u2013-]?\\s*([^)]+)\\)"
 
 
 def clean(c: Column) -> Column:
@@ -76,14 +78,14 @@ def normalize_name(c: Column) -> Column:
 
 
 def name_core(normalized: Column) -> Column:
-    """Trailing legal forms and a dangling AND removed until nothing changes (at most STRIP_ROUNDS times)."""
+    """Trailing legal forms and a dangling AND removed until nothing changes: each round takes a word, so words bound rounds."""
     forms = "|".join(LEGAL_FORMS)
 
     def step(acc: Column, _: Column) -> Column:
         shorter = F.regexp_replace(acc, f"^(.*?) (?:{forms})$", "$1")
         return F.regexp_replace(F.when(acc.rlike(f"^(?:{forms})$"), acc).otherwise(shorter), " AND$", "")
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STRIP_ROUNDS)), normalized, step)
+    return F.aggregate(F.split(normalized, " "), normalized, step)
 
 
 def tokens(c: Column) -> Column:
@@ -136,3 +138,40 @@ def common_prefix_length(a: Column, b: Column) -> Column:
 def parse_yes_no(c: Column) -> Column:
     x = F.lower(clean(c))
     return F.when(x.isin("yes", "y", "true"), F.lit(True)).when(x.isin("no", "n", "false"), F.lit(False))
+
+
+def parse_integer(c: Column) -> Column:
+    """Whole number of a cell, everything but digits and signs left out; null where none remains."""
+    digits = F.regexp_extract(F.regexp_replace(clean(c), "[^0-9-]", ""), "^-?[0-9]+", 0)
+    return digits.try_cast("long")
+
+
+def ends_in_legal_form(normalized: Column) -> Column:
+    return normalized.rlike(f"(?:^| )(?:{'|'.join(LEGAL_FORMS)})$")
+
+
+def split_names(joined: Column) -> Column:
+    """Names joined by 'and': a name ends only behind a legal form, so that an 'and' inside a name stays."""
+    start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("done"))
+
+    def step(acc: Column, part: Column) -> Column:
+        text = F.when(acc["held"] == "", part).otherwise(F.concat(acc["held"], F.lit(" and "), part))
+        whole = ends_in_legal_form(normalize_name_folded(text))
+        return F.struct(F.when(whole, "").otherwise(text).alias("held"), F.when(whole, F.concat(acc["done"], F.array(clean(text)))).otherwise(acc["done"]).alias("done"))
+
+    folded = F.aggregate(F.split(joined, "(?i)\\s+and\\s+"), start, step)
+    return F.filter(F.concat(folded["done"], F.array(clean(folded["held"]))), lambda n: n != "")
+
+
+def parse_company_name(c: Column) -> Column:
+    """STRUCT<display_name, alternate_names>: former names lifted out of a name cell, other parentheses left alone.
+
+    Former names are distinct by their normalised form, the first spelling stays. Null gives '' and no names.
+    """
+    raw = clean(c)
+    found = F.flatten(F.transform(F.regexp_extract_all(raw, F.lit(ALIAS_REMARK), 1), split_names))
+    bare = clean(F.regexp_replace(raw, ALIAS_REMARK, " "))
+    keyed = F.filter(F.transform(found, lambda n: F.struct(normalize_name_folded(n).alias("k"), n.alias("n"))), lambda s: s["k"] != "")
+    keys = F.array_distinct(F.transform(keyed, lambda s: s["k"]))
+    first = F.transform(keys, lambda k: F.element_at(F.filter(keyed, lambda s: s["k"] == k), 1)["n"])
+    return F.struct(F.when(bare == "", raw).otherwise(bare).alias("display_name"), first.alias("alternate_names"))

@@ -10,6 +10,7 @@ from kinledger.functions.text import clean
 # Public mailbox providers, and suffixes of two labels.
 MAIL_PROVIDERS = ["gmail.com", "googlemail.com", "yahoo.com", "yahoo.co.in", "yahoo.in", "hotmail.com", "outlook.com", "live.com", "rediffmail.com", "rediff.com", "aol.com", "icloud.com", "protonmail.com", "proton.me", "zoho.com"]
 TWO_PART_SUFFIXES = ["co.in", "net.in", "org.in", "gen.in", "firm.in", "ind.in", "co.uk", "org.uk", "com.au", "co.jp", "com.sg", "co.za", "com.br"]
+# Fixed value: shape of a mail address.
 EMAIL_SHAPE = "^[^\\s@,;<>()\\[\\]]+@[^\\s@,;<>()\\[\\]]+\\.[A-Za-z]{2,}$"
 
 

@@ -46,16 +46,36 @@ def to_entity(df: DataFrame, source: str, standing: str, rank: int, cols: dict[s
     return out.where("name_normalized is not null and id is not null")
 
 
-def build_entities(register: DataFrame, records: DataFrame) -> DataFrame:
-    """Union of the current registered list and the cancellation records (their counting rows)."""
+#: Sources of the corpus: standing, place in its order, and where each column comes from.
+_SHARED = {"row": "source_row_number", "office": "regional_office", "as_of": "dataset_as_of"}
+_NAMED = {"name": "name", "name_normalized": "name_normalized", "name_core": "name_core"}
+_LISTED = _SHARED | _NAMED | {"alternate_names": "alternate_names", "cin": "cin_normalized", "email_domains": "email_domains"}
+SOURCES = {
+    "registered_nbfc": ("registered", 0, _LISTED),
+    "registered_arc": ("registered", 2, _LISTED),
+    "cancelled_company": ("cancelled", 3, _SHARED | _NAMED),
+    "cancelled_record": ("cancellation_record", 1, _SHARED | {"name": "company_name", "name_normalized": "company_name_normalized", "name_core": "company_name_core"}),
+    "bank": ("bank", 4, {"row": "source_row_number", "as_of": "dataset_as_of", "hostnames": "hostnames"} | _NAMED),
+}
+
+
+def unite(tables: dict[str, DataFrame]) -> DataFrame:
+    """Union of the sources given, {source: rows}, as entities; columns a table lacks are null."""
+    out = None
+    for source, df in tables.items():
+        standing, rank, cols = SOURCES[source]
+        made = to_entity(df, source, standing, rank, {k: c for k, c in cols.items() if c in df.columns})
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def build_entities(register: DataFrame, records: DataFrame, **more: DataFrame) -> DataFrame:
+    """Union of the current registered list, the cancellation records (their counting rows) and any further sources."""
     keep = ["name", "name_normalized", "name_core", "alternate_names", "cin_normalized", "email_domains", "regional_office", "dataset_as_of"]
     listed = current_list(register, ["source_row_number", *keep])
     record_keep = ["company_name", "company_name_normalized", "company_name_core", "regional_office"]
     sheet = counting_rows(records, ["dataset_as_of", "source_row_number"], "last_imported_at", record_keep)
-    shared = {"row": "source_row_number", "office": "regional_office", "as_of": "dataset_as_of"}
-    a = to_entity(listed, "registered_nbfc", "registered", 0, shared | {"name": "name", "name_normalized": "name_normalized", "name_core": "name_core", "alternate_names": "alternate_names", "cin": "cin_normalized", "email_domains": "email_domains"})
-    b = to_entity(sheet, "cancelled_record", "cancellation_record", 1, shared | {"name": "company_name", "name_normalized": "company_name_normalized", "name_core": "company_name_core"})
-    return a.unionByName(b)
+    return unite({"registered_nbfc": listed, "cancelled_record": sheet, **more})
 
 
 def entity_keys(entities: DataFrame) -> DataFrame:

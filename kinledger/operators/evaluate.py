@@ -49,7 +49,7 @@ def _cumulated(scored: DataFrame, label: str, score: str) -> DataFrame:
     down = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     above = by.groupBy("b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).select("b", F.coalesce(F.sum("p").over(down), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(down), F.lit(0)).alias("n0"))
     inside = Window.partitionBy("b").orderBy(F.desc("s"))
-    return by.join(F.broadcast(above), "b").select("s", "pos", "neg", (F.col("p0") + F.sum("pos").over(inside)).alias("tp"), (F.col("n0") + F.sum("neg").over(inside)).alias("fp"))
+    return by.join(above, "b").select("s", "pos", "neg", (F.col("p0") + F.sum("pos").over(inside)).alias("tp"), (F.col("n0") + F.sum("neg").over(inside)).alias("fp"))
 
 
 def ranking_metrics(scored: DataFrame, label: str, score: str) -> DataFrame:
@@ -77,3 +77,22 @@ def split_summary(pairs: DataFrame, split: str, group: str, label: str) -> DataF
 def leaking_groups(pairs: DataFrame, split: str, group: str) -> DataFrame:
     """Groups recorded in more than one split, with how many: must be empty before training."""
     return pairs.where(f"{group} is not null").groupBy(F.lower(F.trim(group)).alias("group_key")).agg(F.count_distinct(F.lower(F.trim(split))).alias("n_splits")).where("n_splits > 1")
+
+
+def pair_counts(pairs: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys, n, positives, share): size and share of positive labels, keys without regard to letter case and outer blanks."""
+    positives = F.count_if(F.col(label) == 1)
+    return pairs.groupBy(*[F.lower(F.trim(k)).alias(k) for k in keys]).agg(F.count("*").alias("n"), positives.alias("positives"), F.round(positives / F.count("*"), 6).alias("share"))
+
+
+def select_model(metrics: DataFrame, cost: str, precision: str) -> DataFrame:
+    """The row of least ``cost``; ties go to the larger ``precision``, then to the first name."""
+    row = F.struct(*metrics.columns)
+    return metrics.agg(F.min_by(row, F.struct(F.col(cost), -F.col(precision), F.col("model"))).alias("r")).select("r.*")
+
+
+def shown_thresholds(sweep: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of a sweep at multiples of 0.05 and at the chosen threshold (one row)."""
+    at = F.round(F.col("threshold") * 100).cast("int")
+    picked = F.broadcast(chosen.select(F.round(F.col("threshold") * 100).cast("int").alias("_at")))  # one row
+    return sweep.join(picked, (at % 5 == 0) | (at == F.col("_at"))).drop("_at")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +20,48 @@ def fixed_window(requests: DataFrame, client: str, ts: str, limit: int, seconds:
     return requests.withColumn("window_no", slot).withColumn("allowed", F.row_number().over(w) <= limit)
 
 
+def _anchored(limit: int, seconds: int):
+    width = seconds * 1_000_000
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by client and time; the open window of the last client is carried from batch to batch."""
+        client, state = None, None
+        for pdf in batches:
+            clients, times = pdf.iloc[:, 0].to_numpy(), pdf.iloc[:, 1].to_numpy()
+            edges = [0, *(np.flatnonzero(clients[1:] != clients[:-1]) + 1), len(pdf)] if len(pdf) else []
+            done = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if state is None or clients[lo] != client:
+                    if state is not None:
+                        done.append((client, *state[2:]))
+                    client, state = clients[lo], [None, 0, 0, 0, 0]
+                at = lo
+                while at < hi:
+                    if state[0] is None or times[at] - state[0] >= width:
+                        state[0], state[1] = times[at], 0
+                        state[4] += 1
+                    end = lo + int(np.searchsorted(times[lo:hi], state[0] + width))
+                    taken = end - at
+                    state[3] += max(0, min(limit - state[1], taken))
+                    state[1], state[2], at = state[1] + taken, state[2] + taken, end
+            if done:
+                yield pd.DataFrame(done, columns=[pdf.columns[0], "n_requests", "n_allowed", "n_windows"])
+        if state is not None:
+            yield pd.DataFrame([(client, *state[2:])], columns=[pdf.columns[0], "n_requests", "n_allowed", "n_windows"])
+
+    return fold
+
+
 def anchored_window(requests: DataFrame, client: str, ts: str, limit: int, seconds: int) -> DataFrame:
     """(client, n_requests, n_allowed, n_windows): a window opens with the first request after the previous one closed.
 
-    The order-dependent state (window start, count) is folded over the client's sorted times; only longs are kept.
+    The state follows the order of a client's requests, so these stay in one task, but as a sorted stream of batches of
+    which only the open window is kept; a busy client is never collected. Null times and clients are left out.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = requests.groupBy(client).agg(F.array_sort(F.collect_list(micros)).alias("t"))
-    zero = F.struct(F.lit(-(2**62)).cast("long").alias("start"), F.lit(0).alias("count"), F.lit(0).alias("allowed"), F.lit(0).alias("windows"))
-
-    def step(acc, t):
-        fresh = t - acc["start"] >= seconds * 1_000_000
-        count = F.when(fresh, 1).otherwise(acc["count"] + 1)
-        return F.struct(F.when(fresh, t).otherwise(acc["start"]).alias("start"), count.alias("count"), (acc["allowed"] + (count <= limit).cast("int")).alias("allowed"), (acc["windows"] + fresh.cast("int")).alias("windows"))
-
-    folded = times.select(client, F.size("t").alias("n_requests"), F.aggregate("t", zero, step).alias("s"))
-    return folded.select(client, "n_requests", F.col("s.allowed").alias("n_allowed"), F.col("s.windows").alias("n_windows"))
+    rows = requests.where(F.col(ts).isNotNull() & F.col(client).isNotNull()).select(client, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    kind = rows.schema[client].dataType.simpleString()
+    sorted_rows = rows.repartition(client).sortWithinPartitions(client, "t")
+    return sorted_rows.mapInPandas(_anchored(limit, seconds), f"{client} {kind}, n_requests int, n_allowed int, n_windows int")
 
 
 def audit_digest(df: DataFrame, name: str, pepper: str) -> DataFrame:

@@ -56,6 +56,25 @@ def fit_models(train: DataFrame, features: list[str], label: str, seed: int = 20
     return {name: Pipeline(stages=stages).fit(train) for name, stages in kinds.items()}
 
 
+def fit_logistic(train: DataFrame, features: list[str], label: str):
+    """Standardised logistic regression (C = 1) as a fitted pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)
+    fit = LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=200, regParam=1.0 / max(train.count(), 1))
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), scale, fit]).fit(train)
+
+
+def export_logistic(fitted, features: list[str]) -> tuple[dict[str, float], float]:
+    """({feature: weight}, bias) of a :func:`fit_logistic` pipeline, on the features as they are."""
+    _, scaler, fit = fitted.stages
+    # a feature that never varies is scaled to nothing
+    weights = {f: float(w / s) if s else 0.0 for f, w, s in zip(features, fit.coefficients, scaler.std, strict=True)}
+    return weights, float(fit.intercept - sum(weights[f] * m for f, m in zip(features, scaler.mean, strict=True)))
+
+
 def score_with(model, df: DataFrame) -> DataFrame:
     """``df`` plus ``p``, the probability of class 1."""
     from pyspark.ml.functions import vector_to_array

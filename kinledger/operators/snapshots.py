@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinledger.functions.text import clean
@@ -11,16 +11,22 @@ COMPARED = ["name", "regional_office", "public_deposits", "classification", "lay
 
 
 def counting_rows(df: DataFrame, keys: list[str], version: str, keep: list[str]) -> DataFrame:
-    """One row per ``keys``: the one with the latest ``version``; ties are settled by the kept values.
+    """One row per ``keys``: the one with the latest ``version``; ties are settled by a hash of the kept values.
 
     An aggregate (``max_by`` with map-side combine) instead of a window, so that a key with many versions
     is never gathered in one task. Rows with a null version lose to any other; an empty table stays empty.
     """
     rest = [c for c in keep if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(F.col(version).isNotNull(), F.col(version), F.to_json(F.struct(*rest))))
+    newest = F.max_by(F.struct(*rest), F.struct(F.col(version).isNotNull(), F.col(version), F.xxhash64(*rest)))
     return df.groupBy(*keys).agg(newest.alias("_kept")).select(*keys, *[F.col("_kept")[c].alias(c) for c in rest])
 
 
+def digest(columns: list[str]) -> Column:
+    """MD5 of the cleaned values, each with its length in front, so that no two rows run together."""
+    cleaned = [clean(F.col(c).cast("string")) for c in columns]
+    return F.md5(F.concat_ws("|", *[x for c in cleaned for x in (F.length(c).cast("string"), c)]))
+
+
 def snapshot_changes(df: DataFrame, as_of: str, key: str, compared: list[str]) -> DataFrame:
     """Additions, removals and changes between consecutive full snapshots in one table.
 
@@ -28,15 +34,13 @@ def snapshot_changes(df: DataFrame, as_of: str, key: str, compared: list[str]) -
     ways removes the rows that are identical, the residues are joined in full by key: left only is a removal, right
     only an addition, both a change. A key that occurs several times counts as present while one row of it remains,
     and as changed when its rows differ as a bag. Rows with a null key or date take no part. Null equals empty, and
-    white space is trimmed and collapsed. Result: ``as_of`` (of the later delivery), the key, ``change_kind``.
+    white space is trimmed and collapsed. What is compared, and shuffled, is a digest of the values. Result: ``as_of`` (of the later delivery), the key, ``change_kind``.
     """
-    rows = df.where(F.col(key).isNotNull() & F.col(as_of).isNotNull()).select(
-        F.col(as_of).alias("as_of"), F.col(key).alias("key"), *[clean(F.col(c).cast("string")).alias(f"v{i}") for i, c in enumerate(compared)]
-    )
+    rows = df.where(F.col(key).isNotNull() & F.col(as_of).isNotNull()).select(F.col(as_of).alias("as_of"), F.col(key).alias("key"), digest(compared).alias("v"))
     dates = df.where(F.col(as_of).isNotNull()).select(F.col(as_of).alias("as_of")).distinct()
     # one row per delivery: a single ordered partition of dates, not of data
     order = dates.select("as_of", F.lead("as_of").over(Window.orderBy("as_of")).alias("next"), F.lag("as_of").over(Window.orderBy("as_of")).alias("prior"))
-    steps = F.broadcast(order)
+    steps = F.broadcast(order)  # one row per delivery
     before = rows.join(steps, "as_of").where("next is not null").select(F.col("next").alias("as_of"), *rows.columns[1:])
     after = rows.join(steps, "as_of").where("prior is not null").select(*rows.columns)
     gone = before.exceptAll(after).select("as_of", "key").distinct().withColumn("in_before", F.lit(True))
@@ -53,8 +57,9 @@ def snapshot_changes(df: DataFrame, as_of: str, key: str, compared: list[str]) -
 
 def register_changes(register: DataFrame) -> DataFrame:
     """:func:`snapshot_changes` of the registered list, over its counting rows."""
-    rows = counting_rows(register, ["dataset_as_of", "source_row_number"], "last_imported_at", ["cin_normalized", *COMPARED])
-    return snapshot_changes(rows, "dataset_as_of", "cin_normalized", COMPARED)
+    narrow = register.select("dataset_as_of", "source_row_number", "last_imported_at", "cin_normalized", digest(COMPARED).alias("content"))
+    rows = counting_rows(narrow, ["dataset_as_of", "source_row_number"], "last_imported_at", ["cin_normalized", "content"])
+    return snapshot_changes(rows, "dataset_as_of", "cin_normalized", ["content"])
 
 
 def current_list(register: DataFrame, keep: list[str]) -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinledger.functions.labels import confidence_label
+from kinledger.functions.similarity import token_jaccard, trigram_similarity
 from kinledger.functions.text import name_core, normalize_cin, normalize_name
 from kinledger.functions.urls import email_domain, extract_hostname
 from kinledger.operators import corpus, features, retrieve
 from kinledger.runtime import cut
 
-SHOWN = 10
+SHOWN, MOST_SHOWN = 10, 25
+# Candidates retrieved for a search and for a verification, matches returned, display floor, acceptance
+# without a model, and the order of standings.
+RETRIEVED, POOLED, MATCHES = 80, 60, 12
+FLOOR, ACCEPTED = 0.05, 0.9
+STANDING_RANKS = {"registered": 0, "bank": 0, "cancelled": 1, "cancellation_record": 2}
 
 
 def claim_profiles(claims: DataFrame) -> DataFrame:
@@ -32,6 +39,54 @@ def search(claims: DataFrame, entities: DataFrame, limit: int = SHOWN) -> DataFr
     return found.join(entities.select("pos", F.col("id").alias("entity_id")), "pos").select("claim_id", "entity_id", "score", "rank")
 
 
+def served_search(claims: DataFrame, entities: DataFrame, source: str = "all", limit: int = SHOWN, scorer=None) -> DataFrame:
+    """(claim_id, entity_id, score, probability, rank) as a search is served.
+
+    RETRIEVED candidates are retrieved, then filtered by source, then ordered by the probability that ``scorer`` (a
+    function from the features' DataFrame to a Column) gives, or by blocking score without one, then cut to 1..25.
+    """
+    limit = min(max(int(limit), 1), MOST_SHOWN)
+    profiles = cut(claim_profiles(claims))
+    found = retrieve.search_candidates(profiles, "claim_id", entities, RETRIEVED)
+    listed = entities if source == "all" else entities.where(F.col("source") == source)
+    kept = found.join(listed.select("pos", F.col("id").alias("entity_id")), "pos").select("claim_id", "entity_id", "score", F.col("rank").alias("place"))
+    if scorer is None:
+        scored = kept.withColumn("probability", F.lit(None).cast("double"))
+    else:
+        kept = cut(kept.withColumn("pair_id", F.concat_ws("|", "claim_id", "entity_id")))
+        named = kept.join(profiles.select("claim_id", F.col("name_normalized").alias("q_normalized"), F.coalesce("name_core", "name_normalized").alias("q_core")), "claim_id")
+        featured = with_features(named, "pair_id", entities, True)
+        scored = featured.select("claim_id", "entity_id", "score", "place", scorer(featured).alias("probability"))
+    order = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc(F.coalesce("probability", "score")), "place"))
+    return scored.withColumn("rank", order).where(F.col("rank") <= limit).select("claim_id", "entity_id", "score", "probability", "rank")
+
+
+def ranked_matches(claims: DataFrame, entities: DataFrame, accept: float = ACCEPTED) -> DataFrame:
+    """(claim_id, entity_id, identified_by, probability, accepted, label, rank): at most MATCHES of each claim.
+
+    Identified entities and POOLED candidates are pooled. Without a model the probability is the larger of word overlap
+    and trigram similarity of the core names. What is neither identified nor above FLOOR is not shown, but the best one
+    is where nothing else is left. Identified ones first, then probability in steps of a thousandth, then standing.
+    """
+    profiles = cut(claim_profiles(claims))
+    hits = retrieve.identify(profiles, "claim_id", corpus.entity_keys(entities)).select("claim_id", "pos", "identified_by")
+    found = retrieve.search_candidates(profiles, "claim_id", entities, POOLED).select("claim_id", "pos", F.lit(None).cast("string").alias("identified_by"))
+    pool = hits.unionByName(found).groupBy("claim_id", "pos").agg(F.max("identified_by").alias("identified_by"))
+    listed = entities.select("pos", F.col("id").alias("entity_id"), "standing", F.col("name_core").alias("e_core"))
+    named = pool.join(profiles.select("claim_id", F.coalesce("name_core", "name_normalized").alias("q_core")), "claim_id").join(listed, "pos")
+    similar = F.round(F.greatest(token_jaccard(F.col("q_core"), F.col("e_core")), trigram_similarity(F.col("q_core"), F.col("e_core"))), 6)
+    scored = named.withColumn("probability", F.when(F.coalesce("q_core", F.lit("")) == "", 0.0).otherwise(similar)).withColumn("identified", F.col("identified_by").isNotNull())
+    standing = F.coalesce(*[F.when(F.col("standing") == s, r) for s, r in STANDING_RANKS.items()], F.lit(3))
+    order = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("identified"), F.desc(F.floor(F.col("probability") * 1000)), standing, "pos"))
+    shown = F.col("identified") | (F.col("probability") >= FLOOR)
+    n_shown = F.count_if(shown).over(Window.partitionBy("claim_id"))
+    best = F.row_number().over(Window.partitionBy("claim_id").orderBy(F.desc("probability"), "pos"))
+    kept = scored.withColumn("n_shown", n_shown).withColumn("best", best).where(shown | ((F.col("n_shown") == 0) & (F.col("best") == 1)))
+    ranked = kept.withColumn("rank", order).where(F.col("rank") <= MATCHES)
+    accepted = F.col("identified") | (F.col("probability") >= accept)
+    return ranked.select("claim_id", "entity_id", "identified_by", "probability", accepted.alias("accepted"), confidence_label(F.col("identified_by"), F.col("probability")).alias("label"), "rank")
+
+
 def named_pairs(pairs: DataFrame, entities: DataFrame, with_aliases: bool = True) -> DataFrame:
     """Labelled pairs beside both names: pair_id, label, q_normalized, q_core, e_normalized, e_core, e_aliases.
 
@@ -42,13 +97,22 @@ def named_pairs(pairs: DataFrame, entities: DataFrame, with_aliases: bool = True
     return typed.where("q_normalized <> ''").join(listed, "id").withColumn("q_core", name_core(F.col("q_normalized")))
 
 
-def featured_pairs(pairs: DataFrame, entities: DataFrame, with_jaro: bool = True) -> DataFrame:
-    named = cut(named_pairs(pairs, entities))
+def with_features(pairs: DataFrame, key: str, entities: DataFrame, with_jaro: bool = True) -> DataFrame:
+    """``pairs`` (key, entity_id, q_normalized, q_core) plus the names of the entity and all features; IDF of the whole corpus."""
+    listed = entities.select(F.col("id").alias("entity_id"), F.col("name_normalized").alias("e_normalized"), F.col("name_core").alias("e_core"), F.col("alternate_names").alias("e_aliases"))
+    return _weighed(cut(pairs.join(listed, "entity_id")), key, entities, with_jaro)
+
+
+def _weighed(named: DataFrame, key: str, entities: DataFrame, with_jaro: bool) -> DataFrame:
     n = corpus.entity_count(entities)
     stats = corpus.term_stats(corpus.postings(entities), n)
-    weights = features.word_weights(named, "pair_id", stats)
+    weights = features.word_weights(named, key, stats)
     top = n.select((F.log((F.col("n") + 1) / 2) + 1).alias("top"))
-    joined = named.join(weights, "pair_id", "left").crossJoin(F.broadcast(top))
+    joined = named.join(weights, key, "left").crossJoin(F.broadcast(top))
     empty = F.create_map().cast("map<string,double>")
-    made = features.pair_features(joined.withColumnRenamed("idf", "word_idf"), F.coalesce("word_idf", empty), F.col("top"), with_jaro)
+    return features.pair_features(joined.withColumnRenamed("idf", "word_idf"), F.coalesce("word_idf", empty), F.col("top"), with_jaro)
+
+
+def featured_pairs(pairs: DataFrame, entities: DataFrame, with_jaro: bool = True) -> DataFrame:
+    made = _weighed(cut(named_pairs(pairs, entities)), "pair_id", entities, with_jaro)
     return made.select("pair_id", "label", *[f for f in features.FEATURES if f in made.columns])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinledger.functions import dates, similarity, text, urls
 from kinledger.operators import pairs as pair_ops
+from kinledger.operators.snapshots import current_list
 from kinledger.runtime import table
 
 
@@ -52,7 +53,9 @@ def host_related(spark, d):
 
 
 def flexible_dates(spark, d):
-    return table(spark, d, "cancelled_record").select("record_id", dates.parse_flexible_date(F.col("issuance")).alias("issued_on"))
+    # one parser for both columns; two side by side outgrow a generated method
+    both = F.transform(F.array("issuance", "cancellation"), dates.parse_flexible_date)
+    return table(spark, d, "cancelled_record").select("record_id", both.alias("on")).select("record_id", F.col("on")[0].alias("issued_on"), F.col("on")[1].alias("cancelled_on"))
 
 
 def split_assignment(spark, d):
@@ -62,8 +65,9 @@ def split_assignment(spark, d):
 
 
 def _pairs(spark, d):
-    """Distinct (query, listed name) texts of the labelled pairs."""
-    names = table(spark, d, "registered_nbfc").where("name_core is not null").groupBy(F.concat(F.lit("registered_nbfc:"), F.col("source_row_number")).alias("id")).agg(F.max("name_core").alias("e"))
+    """(query, listed name) texts of the labelled pairs; an entity is a row of the current list."""
+    current = current_list(table(spark, d, "registered_nbfc"), ["source_row_number", "name_core", "name"]).where("name_core is not null")
+    names = current.select(F.concat(F.lit("registered_nbfc:"), F.col("source_row_number")).alias("id"), F.col("name_core").alias("e"))
     q = table(spark, d, "pairs").where("query_text is not null").select("pair_id", F.lower(F.trim("entity_id")).alias("id"), text.normalize_name_folded(F.col("query_text")).alias("q"))
     return q.join(names, "id")
 
@@ -78,9 +82,15 @@ def jaro_winkler_pairs(spark, d):
     return _pairs(spark, d).select("pair_id", F.round(similarity.jaro_winkler("q", "e"), 6).alias("jaro_winkler"))
 
 
+def company_aliases(spark, d):
+    """Former names lifted out of the listed name cells."""
+    parsed = text.parse_company_name(F.col("name"))
+    return table(spark, d, "registered_nbfc").select("row_id", parsed.alias("p")).select("row_id", "p.display_name", F.array_join("p.alternate_names", "|").alias("former_names"))
+
+
 def query_variants(spark, d):
-    names = table(spark, d, "registered_nbfc").select("row_id", "display_name")
-    return pair_ops.query_variants(names, "row_id", "display_name")
+    names = table(spark, d, "registered_nbfc").select("row_id", "display_name", "alternate_names")
+    return pair_ops.query_variants(names, "row_id", "display_name", "alternate_names")
 
 
 def query_variant_counts(spark, d):
@@ -88,10 +98,10 @@ def query_variant_counts(spark, d):
 
 
 def stratified_sample(spark, d):
-    return pair_ops.stratified_sample(table(spark, d, "documents").where("source is not null"), "source", "doc_id", 20).select("doc_id", "source")
+    return pair_ops.stratified_sample(table(spark, d, "documents").where("source is not null"), "source", "doc_id", 200).select("doc_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (name_normalize, name_core, cluster_key, name_tokens, cin_valid, sheet_emails, email_domain_counts, host_extract, host_related, flexible_dates, split_assignment, pair_similarities, jaro_winkler_pairs, query_variants, query_variant_counts, stratified_sample)}
+QUERIES = {f.__name__: f for f in (name_normalize, name_core, cluster_key, name_tokens, cin_valid, sheet_emails, email_domain_counts, host_extract, host_related, flexible_dates, split_assignment, pair_similarities, jaro_winkler_pairs, query_variants, query_variant_counts, stratified_sample, company_aliases)}
 
 SPACES = "'[\\s\\x{0085}\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}\\x0b\\x1c-\\x1f]+'"
 
@@ -109,7 +119,7 @@ _FORMS = "|".join(text.LEGAL_FORMS)
 
 def sql_core(x: str) -> str:
     step = f"regexp_replace(CASE WHEN regexp_matches(acc, '^({_FORMS})$') THEN acc ELSE regexp_replace(acc, '^(.*?) ({_FORMS})$', '\\1') END, ' AND$', '')"
-    return f"list_reduce([{x}] || ['', '', '', '', '', '', '', ''], lambda acc, ignored: {step})"
+    return f"list_reduce([{x}] || string_split({x}, ' '), lambda acc, ignored: {step})"
 
 
 def sql_host(c: str) -> str:
@@ -129,12 +139,19 @@ _ADDRESSES = """list_distinct(list_filter(list_transform(regexp_split_to_array(
   regexp_replace(regexp_replace(regexp_replace(%s, '\\s*\\.\\s*', '.', 'g'), '(?i)\\[\\s*at\\s*\\]|\\(\\s*at\\s*\\)', '@', 'g'), '(?i)\\[\\s*dot\\s*\\]|\\(\\s*dot\\s*\\)', '.', 'g'),
   '[;,\\s]+'), lambda e: regexp_replace(regexp_replace(lower(trim(e)), '^["''<(]+', ''), '["''>).,;]+$', '')),
   lambda e: regexp_matches(e, '^[^\\s@,;<>()\\[\\]]+@[^\\s@,;<>()\\[\\]]+\\.[A-Za-z]{2,}$')))""" % sql_clean("email")
+_REMARK = "(?i)\\(\\s*(?:formerly(?:\\s*known\\s+as)?|name\\s+as\\s+per\\s+mca)\\s*[:–-]?\\s*([^)]+)\\)"
 _STOPS = ", ".join(f"'{w}'" for w in text.CLUSTER_STOP_WORDS)
 _PROVIDERS = ", ".join(f"'{w}'" for w in urls.MAIL_PROVIDERS)
 _TWO = ", ".join(f"'{w}'" for w in urls.TWO_PART_SUFFIXES)
 _MONTHS = "'janfebmaraprmayjunjulaugsepoctnovdec'"
 
 SQL = {
+    "stratified_sample": f"""
+WITH c AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1),
+t AS (SELECT source, n, least(n, ceil(200 / count(*) OVER ())) AS taken FROM c),
+q AS (SELECT source, taken + least(n - taken, greatest(greatest(200 - sum(taken) OVER (), 0) - coalesce(sum(n - taken) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS quota FROM t),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('{pair_ops.SEED}:' || doc_id), doc_id) AS nth FROM documents WHERE source IS NOT NULL)
+SELECT doc_id, source FROM r JOIN q USING (source) WHERE nth <= quota""",
     "name_normalize": f"SELECT claim_id, {sql_normalize('strip_accents(claimed_name)')} AS name_normalized FROM company_input",
     "name_core": f"WITH n AS (SELECT row_id, {sql_normalize('display_name')} AS n FROM registered_nbfc) SELECT row_id, {sql_core('n')} AS core FROM n",
     "cluster_key": f"""
@@ -144,6 +161,15 @@ WITH RECURSIVE w AS (
   SELECT row_id, t[2:] FROM w WHERE len(t) > 1 AND t[1] IN ({_STOPS})
 ), last AS (SELECT row_id, arg_min(t, len(t)) AS t FROM w GROUP BY row_id)
 SELECT row_id, coalesce(CASE WHEN len(t[1]) <= 2 AND t[2] IS NOT NULL THEN t[1] || '_' || left(t[2], 8) ELSE left(t[1], 8) END, '__empty__') AS cluster_key FROM last""",
+    "company_aliases": f"""
+WITH r AS (SELECT row_id, {sql_clean('name')} AS raw FROM registered_nbfc),
+g AS (SELECT row_id, raw, regexp_extract_all(raw, '{_REMARK}', 1) AS found FROM r),
+s AS (SELECT row_id, unnest(found) AS f, generate_subscripts(found, 1) AS i FROM g),
+cutup AS (SELECT row_id, i, string_split(regexp_replace(f, '(?i)\\b(limited|ltd\\.?|llp|plc|corp\\.?|inc\\.?|co\\.?|company|corporation)\\s+and\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM s),
+names AS (SELECT row_id, i, unnest(list_transform(parts, lambda p: {sql_clean('p')})) AS n, generate_subscripts(parts, 1) AS j FROM cutup),
+firsts AS (SELECT row_id, i, j, n FROM names WHERE {sql_normalize('n')} <> '' QUALIFY row_number() OVER (PARTITION BY row_id, {sql_normalize('n')} ORDER BY i, j) = 1)
+SELECT row_id, CASE WHEN b = '' THEN raw ELSE b END AS display_name, coalesce((SELECT string_agg(n, '|' ORDER BY i, j) FROM firsts WHERE firsts.row_id = x.row_id), '') AS former_names
+FROM (SELECT row_id, raw, trim(regexp_replace(regexp_replace(raw, '{_REMARK}', ' ', 'g'), '\\s+', ' ', 'g')) AS b FROM r) x""",
     "name_tokens": """
 WITH w AS (SELECT row_id, list_filter(string_split(coalesce(name_core, ''), ' '), lambda t: t <> '') AS t FROM registered_nbfc)
 SELECT row_id, array_to_string(t, '|') AS words, array_to_string(list_transform(t, lambda x: x[1]), '') AS acronym FROM w""",
@@ -163,22 +189,24 @@ SELECT claim_id, host, CASE WHEN len(p) >= 2 THEN CASE WHEN p[-2] || '.' || p[-1
 WITH h AS (SELECT claim_id, {sql_web_host('website')} AS a, {sql_host(_MAIL.format(c='email'))} AS b FROM company_input)
 SELECT claim_id, coalesce(a = b OR ends_with(a, '.' || b) OR ends_with(b, '.' || a), false) AS related FROM h""",
     "flexible_dates": f"""
-WITH t AS (SELECT record_id, {sql_clean('issuance')} AS t FROM cancelled_record),
-p AS (SELECT record_id, t,
+WITH t AS (SELECT record_id, f, {sql_clean('x')} AS t FROM (SELECT record_id, unnest(['issued_on', 'cancelled_on']) AS f, unnest([issuance, cancellation]) AS x FROM cancelled_record)),
+p AS (SELECT record_id, f, t,
   CASE WHEN regexp_matches(t, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([ T].*)?$') THEN [t[1:4], t[6:7], t[9:10]]
        WHEN regexp_matches(t, '^[0-9]{{1,2}}[-/ ]([A-Za-z]{{3,}}|[0-9]{{1,2}})[-/ ][0-9]{{4}}$') THEN list_reverse(regexp_split_to_array(t, '[-/ ]'))
        WHEN regexp_matches(t, '^[A-Za-z]{{3,}}\\s+[0-9]{{1,2}},?\\s+[0-9]{{4}}$') THEN [split_part(t, ' ', 3), split_part(t, ' ', 1), replace(split_part(t, ' ', 2), ',', '')] END AS p FROM t),
-m AS (SELECT record_id, t, try_cast(p[1] AS INT) AS y, try_cast(p[3] AS INT) AS d,
-  CASE WHEN regexp_matches(p[2], '^[0-9]+$') THEN try_cast(p[2] AS INT) WHEN instr({_MONTHS}, lower(left(p[2], 3))) > 0 THEN (instr({_MONTHS}, lower(left(p[2], 3))) + 2) // 3 END AS m FROM p)
-SELECT record_id, CASE WHEN regexp_matches(t, '^[0-9]{{5}}$') THEN strftime(DATE '1899-12-30' + try_cast(t AS INT), '%Y-%m-%d')
-  WHEN y BETWEEN 1900 AND 2200 AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 THEN format('{{}}-{{:02d}}-{{:02d}}', y, m, d) END AS issued_on FROM m""",
+m AS (SELECT record_id, f, t, try_cast(p[1] AS INT) AS y, try_cast(p[3] AS INT) AS d,
+  CASE WHEN regexp_matches(p[2], '^[0-9]+$') THEN try_cast(p[2] AS INT) WHEN instr({_MONTHS}, lower(left(p[2], 3))) > 0 THEN (instr({_MONTHS}, lower(left(p[2], 3))) + 2) // 3 END AS m FROM p),
+v AS (SELECT record_id, f, CASE WHEN regexp_matches(t, '^[0-9]{{5}}$') THEN strftime(DATE '1899-12-30' + try_cast(t AS INT), '%Y-%m-%d')
+  WHEN y BETWEEN 1900 AND 2200 AND m BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 THEN format('{{}}-{{:02d}}-{{:02d}}', y, m, d) END AS v FROM m)
+SELECT record_id, max(v) FILTER (f = 'issued_on') AS issued_on, max(v) FILTER (f = 'cancelled_on') AS cancelled_on FROM v GROUP BY record_id""",
     "split_assignment": f"""
 WITH k AS (SELECT coalesce(upper(trim(cluster_key)), '__empty__') AS k, count(*) AS n FROM pairs GROUP BY 1),
 h AS (SELECT k, n, list_reduce([{pair_ops.SEED}::BIGINT] || list_transform(list_filter(string_split(k, ''), lambda c: c <> ''), lambda c: ascii(c)::BIGINT), lambda acc, c: (xor(acc, c) * 16777619) % 4294967296) / 4294967296.0 AS h FROM k)
 SELECT CASE WHEN h < 0.7 THEN 'train' WHEN h < 0.85 THEN 'validation' ELSE 'test' END AS split_name, sum(n)::BIGINT AS n, count(*) AS groups FROM h GROUP BY 1""",
     "pair_similarities": f"""
-WITH names AS (SELECT 'registered_nbfc:' || source_row_number AS id, max(name_core) AS e FROM registered_nbfc WHERE name_core IS NOT NULL GROUP BY 1),
-q AS (SELECT pair_id, {sql_normalize('query_text')} AS q, e FROM pairs JOIN names ON names.id = lower(trim(entity_id)) WHERE query_text IS NOT NULL),
+WITH names AS (SELECT 'registered_nbfc:' || source_row_number AS id, name_core AS e FROM registered_nbfc WHERE dataset_as_of = (SELECT max(dataset_as_of) FROM registered_nbfc)
+  QUALIFY row_number() OVER (PARTITION BY source_row_number ORDER BY last_imported_at DESC, row_id) = 1),
+q AS (SELECT pair_id, {sql_normalize('query_text')} AS q, e FROM pairs JOIN names ON names.id = lower(trim(entity_id)) WHERE query_text IS NOT NULL AND e IS NOT NULL),
 g AS (SELECT *, '  ' || lower(q) || ' ' AS pq, '  ' || lower(e) || ' ' AS pe, list_distinct(list_filter(string_split(q, ' '), lambda t: t <> '')) AS tq, list_distinct(list_filter(string_split(e, ' '), lambda t: t <> '')) AS te FROM q),
 s AS (SELECT *, {_GRAMS.format(p='pq')} AS gq, {_GRAMS.format(p='pe')} AS ge FROM g),
 c AS (SELECT *, len(list_intersect(gq, ge)) AS sg, len(list_intersect(tq, te)) AS st FROM s)
