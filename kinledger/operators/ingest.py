@@ -49,6 +49,12 @@ def fill_forward(df: DataFrame, partition: list[str], order: list[str], value: C
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
+def stacked_rows(df: DataFrame, partition: list[str], order: list[str], banner: Column, header: Column, section: str) -> DataFrame:
+    """Data rows of a sheet of several tables, each with its ``section``: banners, repeated headers and rows before any section left out."""
+    filled = fill_forward(df.select("*", banner.alias("_banner"), F.coalesce(header, F.lit(False)).alias("_header")), partition, order, F.col("_banner"), section)
+    return filled.where(F.col("_banner").isNull() & ~F.col("_header") & F.col(section).isNotNull()).drop("_banner", "_header")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of the same key; several new rows of a key: the latest counts.
 

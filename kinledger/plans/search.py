@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinledger.functions.labels import confidence_label
 from kinledger.functions.similarity import token_jaccard, trigram_similarity
-from kinledger.functions.text import name_core, normalize_cin, normalize_name
+from kinledger.functions.text import clean, name_core, normalize_cin, normalize_name
 from kinledger.functions.urls import email_domain, extract_hostname
 from kinledger.operators import corpus, features, retrieve
 from kinledger.runtime import cut
@@ -15,7 +15,7 @@ from kinledger.runtime import cut
 SHOWN, MOST_SHOWN = 10, 25
 # Candidates retrieved for a search and for a verification, matches returned, display floor, acceptance
 # without a model, and the order of standings.
-RETRIEVED, POOLED, MATCHES = 80, 60, 12
+RETRIEVED, POOLED, MATCHES, KNOWN = 80, 60, 12, 3
 FLOOR, ACCEPTED = 0.05, 0.9
 STANDING_RANKS = {"registered": 0, "bank": 0, "cancelled": 1, "cancellation_record": 2}
 
@@ -87,6 +87,18 @@ def ranked_matches(claims: DataFrame, entities: DataFrame, accept: float = ACCEP
     return ranked.select("claim_id", "entity_id", "identified_by", "probability", accepted.alias("accepted"), confidence_label(F.col("identified_by"), F.col("probability")).alias("label"), "rank")
 
 
+def known_entities(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """The first KNOWN accepted matches of each claim: a question for a name and one for a domain are never blended.
+
+    Site and mail domain identify only where no name is given.
+    """
+    nameless = clean(F.col("claimed_name")) == ""
+    asked = claims.select("claim_id", "claimed_name", "cin", F.when(nameless, F.col("website")).alias("website"), F.when(nameless, F.col("email")).alias("email"))
+    accepted = ranked_matches(asked, entities).where("accepted")
+    nth = F.row_number().over(Window.partitionBy("claim_id").orderBy("rank"))
+    return accepted.withColumn("nth", nth).where(F.col("nth") <= KNOWN).select("claim_id", "entity_id", "label", "nth")
+
+
 def named_pairs(pairs: DataFrame, entities: DataFrame, with_aliases: bool = True) -> DataFrame:
     """Labelled pairs beside both names: pair_id, label, q_normalized, q_core, e_normalized, e_core, e_aliases.
 

@@ -74,8 +74,9 @@ def _pairs(spark, d):
 
 def pair_similarities(spark, d):
     q, e = F.col("q"), F.col("e")
-    sims = {"trigram": similarity.trigram_similarity(q, e), "token_jaccard": similarity.token_jaccard(q, e), "token_containment": similarity.token_containment(q, e), "edit_similarity": similarity.edit_similarity(q, e), "length_ratio": similarity.length_ratio(q, e)}
-    return _pairs(spark, d).select("pair_id", *[F.round(v, 6).alias(k) for k, v in sims.items()])
+    sims = {"trigram": similarity.jaccard(F.col("gq"), F.col("ge")), "token_jaccard": similarity.token_jaccard(q, e), "token_containment": similarity.token_containment(q, e), "edit_similarity": similarity.edit_similarity(q, e), "length_ratio": similarity.length_ratio(q, e)}
+    made = _pairs(spark, d).select("pair_id", "q", "e", similarity.trigrams(q).alias("gq"), similarity.trigrams(e).alias("ge"))
+    return made.select("pair_id", *[F.round(v, 6).alias(k) for k, v in sims.items()])
 
 
 def jaro_winkler_pairs(spark, d):

@@ -73,6 +73,15 @@ def ingest_fill_forward(spark, d):
     return filled.select("line_id", "section")
 
 
+def stacked_sheet(spark, d):
+    """Data lines of the stacked sheet by section."""
+    rows = table(spark, d, "sheet_rows").where("dataset_key = 'cancelled_record' and line is not null")
+    banner = F.when(F.col("line").startswith("List of"), ingest.section_of(F.col("line")))
+    header = F.lower(F.col("line")).rlike("^\\W*s[lr]\\.? no")
+    kept = ingest.stacked_rows(rows, ["delivery_id", "source_sheet"], ["source_row_number", "line_id"], banner, header, "section")
+    return kept.select("line_id", "section")
+
+
 def ingest_rollup(spark, d):
     return ingest.run_report(table(spark, d, "import_runs"))
 
@@ -122,7 +131,7 @@ def event_windows(spark, d):
     return windows.tumbling_counts(table(spark, d, "events"), "ts", "event_type", "1 hour", "10 minutes").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (page_title, page_text_head_tail, page_links, choose_pages, document_emails, page_contacts, company_mentions, ingest_fill_forward, ingest_rollup, upsert_merge, prune_stale, profile_nulls, merge_by_core, rate_limit_fixed, rate_limit_anchored, audit_digest, event_windows)}
+QUERIES = {f.__name__: f for f in (page_title, page_text_head_tail, page_links, choose_pages, document_emails, page_contacts, company_mentions, ingest_fill_forward, stacked_sheet, ingest_rollup, upsert_merge, prune_stale, profile_nulls, merge_by_core, rate_limit_fixed, rate_limit_anchored, audit_digest, event_windows)}
 
 
 def _sql() -> dict[str, str]:
@@ -173,6 +182,10 @@ SELECT doc_id, nullif(left({visible_text(value('tag', 'content'))}, 300), '') AS
         "ingest_fill_forward": """
 WITH b AS (SELECT *, CASE WHEN starts_with(line, 'List of') THEN CASE WHEN contains(lower(line), 'removed') THEN 'removed_from_list' WHEN contains(lower(line), 'added') THEN 'added_to_list' END END AS banner FROM sheet_rows WHERE dataset_key = 'cancelled_record' AND line IS NOT NULL)
 SELECT line_id, last_value(banner IGNORE NULLS) OVER (PARTITION BY delivery_id, source_sheet ORDER BY source_row_number, line_id ROWS UNBOUNDED PRECEDING) AS section FROM b""",
+        "stacked_sheet": """
+WITH b AS (SELECT *, CASE WHEN starts_with(line, 'List of') THEN CASE WHEN contains(lower(line), 'removed') THEN 'removed_from_list' WHEN contains(lower(line), 'added') THEN 'added_to_list' END END AS banner FROM sheet_rows WHERE dataset_key = 'cancelled_record' AND line IS NOT NULL),
+f AS (SELECT line_id, line, banner, last_value(banner IGNORE NULLS) OVER (PARTITION BY delivery_id, source_sheet ORDER BY source_row_number, line_id ROWS UNBOUNDED PRECEDING) AS section FROM b)
+SELECT line_id, section FROM f WHERE banner IS NULL AND section IS NOT NULL AND NOT regexp_matches(lower(line), '^\\W*s[lr]\\.? no')""",
         "ingest_rollup": "SELECT source_sheet, count(*) AS runs, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("rows_read", "rows_imported", "rows_skipped", "rows_missing_cin", "rows_invalid_cin", "rows_missing_email")) + " FROM import_runs GROUP BY ROLLUP (source_sheet)",
         "upsert_merge": """
 WITH m AS (SELECT max(dataset_as_of) AS m FROM registered_nbfc), new AS (SELECT r.* FROM registered_nbfc r, m WHERE dataset_as_of = m AND source_row_number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_row_number ORDER BY last_imported_at DESC) = 1),

@@ -76,6 +76,10 @@ def ranked_matches(spark, d):
     return search.ranked_matches(table(spark, d, "company_input"), _entities(spark, d))
 
 
+def known_entities(spark, d):
+    return search.known_entities(table(spark, d, "company_input"), _entities(spark, d))
+
+
 def pg_trigram_search(spark, d):
     e = _entities(spark, d)
     claims = cut(search.claim_profiles(table(spark, d, "company_input")).select("claim_id", "name_normalized", "name_core"))
@@ -232,7 +236,7 @@ def train_models(spark, d):
     return out
 
 
-QUERIES = {f.__name__: f for f in (entities, standing_counts, term_idf, cin_lookup, name_lookup, parent_domain_lookup, identifier_lookup, search_candidates, search_registered, ranked_matches, pg_trigram_search, feature_vector, feature_vector_full, scores, export_parity, confusion_sweep, choose_threshold, ranking_metrics, recall_by_variant, recall_by_entity, pair_counts, model_selection, sweep_shown, training_pairs, corpus_sources, split_summary, leaking_clusters, hard_negatives, train_models)}
+QUERIES = {f.__name__: f for f in (entities, standing_counts, term_idf, cin_lookup, name_lookup, parent_domain_lookup, identifier_lookup, search_candidates, search_registered, ranked_matches, known_entities, pg_trigram_search, feature_vector, feature_vector_full, scores, export_parity, confusion_sweep, choose_threshold, ranking_metrics, recall_by_variant, recall_by_entity, pair_counts, model_selection, sweep_shown, training_pairs, corpus_sources, split_summary, leaking_clusters, hard_negatives, train_models)}
 
 
 def _sql() -> dict[str, str]:
@@ -297,6 +301,20 @@ routes AS (
   UNION ALL SELECT DISTINCT claim_id, id, 3, 'former_name' FROM claims JOIN (SELECT id, unnest(aliases) AS a FROM ents) ON a = name_normalized
   UNION ALL SELECT claim_id, id, 5, 'contact_domain' FROM domain_hits WHERE (claim_id, level) IN (SELECT (claim_id, min(level)) FROM domain_hits GROUP BY claim_id)),
 identified AS (SELECT claim_id, id, arg_min(route, n) AS identified_by, array_to_string(list_sort(list(DISTINCT route)), ',') AS routes FROM routes GROUP BY 1, 2)"""
+
+    def ranked(claims: str) -> str:
+        return f"""
+WITH {ents}, {claims}, {post}, {candidates(60)}, {identified},
+pool AS (SELECT claim_id, id, max(identified_by) AS identified_by FROM (SELECT claim_id, id, identified_by FROM identified UNION ALL SELECT claim_id, entity_id, NULL FROM found) GROUP BY 1, 2),
+n AS (SELECT claim_id, p.id, identified_by, pos, standing, coalesce(c.name_core, c.name_normalized, '') AS q, e.name_core AS e FROM pool p JOIN ents e USING (id) JOIN claims c USING (claim_id)),
+g AS (SELECT *, list_distinct({toks('q')}) AS tq, list_distinct({toks('e')}) AS te, {whole_grams('q')} AS gq, {whole_grams('e')} AS ge FROM n),
+p AS (SELECT *, identified_by IS NOT NULL AS identified, CASE WHEN q = '' THEN 0 ELSE round(greatest({jac('tq', 'te')}, {jac('gq', 'ge')}), 6) END AS probability FROM g),
+s AS (SELECT *, count(*) FILTER (identified OR probability >= 0.05) OVER (PARTITION BY claim_id) AS n_shown, row_number() OVER (PARTITION BY claim_id ORDER BY probability DESC, pos) AS best FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY identified DESC, floor(probability * 1000) DESC, CASE standing WHEN 'registered' THEN 0 WHEN 'bank' THEN 0 WHEN 'cancelled' THEN 1 ELSE 2 END, pos)::INT AS rank FROM s WHERE identified OR probability >= 0.05 OR (n_shown = 0 AND best = 1))
+SELECT claim_id, id AS entity_id, identified_by, probability, identified OR probability >= 0.9 AS accepted,
+  CASE identified_by {ways} ELSE CASE WHEN probability >= 0.9 THEN 'very likely the same institution' WHEN probability >= 0.6 THEN 'possibly the same institution' ELSE 'similar name only' END END AS label, rank FROM r WHERE rank <= 12"""
+
+    one_question = claims.replace("FROM company_input", f"FROM (SELECT claim_id, claimed_name, cin, CASE WHEN {sql_clean('claimed_name')} = '' THEN website END AS website, CASE WHEN {sql_clean('claimed_name')} = '' THEN email END AS email FROM company_input)")
     return {
         "entities": f"WITH {ents} SELECT id, source, standing, name_core, cin FROM ents",
         "term_idf": f"WITH {ents}, {post} SELECT term, df, round(idf, 6) AS idf, kept FROM stats",
@@ -309,16 +327,8 @@ hits AS (SELECT DISTINCT doc_id, level, id FROM k JOIN (SELECT id, unnest(domain
 SELECT doc_id, level::INT AS level, count(*) AS n_entities FROM hits WHERE (doc_id, level) IN (SELECT (doc_id, min(level)) FROM hits GROUP BY doc_id) GROUP BY 1, 2""",
         "search_candidates": f"WITH {ents}, {claims}, {post}, {candidates(LIMIT)} SELECT * FROM found",
         "search_registered": f"WITH {ents}, {claims}, {post}, {candidates(80)} SELECT claim_id, entity_id, score, nth AS rank FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, rank)::INT AS nth FROM found WHERE starts_with(entity_id, 'registered_nbfc:')) WHERE nth <= {LIMIT}",
-        "ranked_matches": f"""
-WITH {ents}, {claims}, {post}, {candidates(60)}, {identified},
-pool AS (SELECT claim_id, id, max(identified_by) AS identified_by FROM (SELECT claim_id, id, identified_by FROM identified UNION ALL SELECT claim_id, entity_id, NULL FROM found) GROUP BY 1, 2),
-n AS (SELECT claim_id, p.id, identified_by, pos, standing, coalesce(c.name_core, c.name_normalized, '') AS q, e.name_core AS e FROM pool p JOIN ents e USING (id) JOIN claims c USING (claim_id)),
-g AS (SELECT *, list_distinct({toks('q')}) AS tq, list_distinct({toks('e')}) AS te, {whole_grams('q')} AS gq, {whole_grams('e')} AS ge FROM n),
-p AS (SELECT *, identified_by IS NOT NULL AS identified, CASE WHEN q = '' THEN 0 ELSE round(greatest({jac('tq', 'te')}, {jac('gq', 'ge')}), 6) END AS probability FROM g),
-s AS (SELECT *, count(*) FILTER (identified OR probability >= 0.05) OVER (PARTITION BY claim_id) AS n_shown, row_number() OVER (PARTITION BY claim_id ORDER BY probability DESC, pos) AS best FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY identified DESC, floor(probability * 1000) DESC, CASE standing WHEN 'registered' THEN 0 WHEN 'bank' THEN 0 WHEN 'cancelled' THEN 1 ELSE 2 END, pos)::INT AS rank FROM s WHERE identified OR probability >= 0.05 OR (n_shown = 0 AND best = 1))
-SELECT claim_id, id AS entity_id, identified_by, probability, identified OR probability >= 0.9 AS accepted,
-  CASE identified_by {ways} ELSE CASE WHEN probability >= 0.9 THEN 'very likely the same institution' WHEN probability >= 0.6 THEN 'possibly the same institution' ELSE 'similar name only' END END AS label, rank FROM r WHERE rank <= 12""",
+        "ranked_matches": ranked(claims),
+        "known_entities": f"SELECT claim_id, entity_id, label, row_number() OVER (PARTITION BY claim_id ORDER BY rank)::INT AS nth FROM ({ranked(one_question)}) WHERE accepted QUALIFY nth <= 3",
         "identifier_lookup": f"WITH {ents}, {claims}, {identified} SELECT claim_id, id AS entity_id, identified_by, routes FROM identified",
         "standing_counts": f"""
 WITH RECURSIVE {ents}, w AS (SELECT id, list_filter(string_split(name_core, ' '), lambda t: t <> '') AS t FROM ents UNION ALL SELECT id, t[2:] FROM w WHERE len(t) > 1 AND t[1] IN ({_STOPS})),

@@ -68,8 +68,28 @@ def _cell(c: ET.Element, strings: list[str], dates: set[int]) -> str | None:
     return str(int(number)) if number.is_integer() and abs(number) < 1e15 else v.text
 
 
+def _links(book: zipfile.ZipFile, path: str) -> dict[str, str]:
+    """{cell reference: target} of a sheet's external links, mail addresses without their scheme."""
+    folder, _, name = path.rpartition("/")
+    listed = f"{folder}/_rels/{name}.rels"
+    if listed not in book.namelist():
+        return {}
+    targets = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(book.read(listed)) if r.get("Type", "").endswith("/hyperlink")}
+    found: dict[str, str] = {}
+    if targets:
+        # links stand behind the rows in the file
+        with book.open(path) as f:
+            for _, el in ET.iterparse(f):
+                if el.tag == f"{M}hyperlink" and el.get(f"{R}id") in targets:
+                    found[el.get("ref", "").split(":")[0]] = re.sub("(?i)^mailto:", "", targets[el.get(f"{R}id")])
+                elif el.tag == f"{M}row":
+                    el.clear()
+    return found
+
+
 def rows(book: zipfile.ZipFile, path: str) -> Iterator[tuple[int, list[str | None]]]:
-    strings, dates = _strings(book), _date_styles(book)
+    """(row number, cells) of every row, empty ones included; a linked cell without text holds its target."""
+    strings, dates, links = _strings(book), _date_styles(book), _links(book, path)
     with book.open(path) as f:
         last = 0
         for _, el in ET.iterparse(f):
@@ -83,7 +103,8 @@ def rows(book: zipfile.ZipFile, path: str) -> Iterator[tuple[int, list[str | Non
             for c in el.iter(f"{M}c"):
                 i = _column(c.get("r")) if c.get("r") else len(cells)
                 cells += [None] * (i + 1 - len(cells))
-                cells[i] = _cell(c, strings, dates)
+                text = _cell(c, strings, dates)
+                cells[i] = links.get(c.get("r")) if text is None or text == "" else text
             yield number, cells
             el.clear()
 

@@ -233,3 +233,17 @@ def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         runtime.ensure_checkpoint_dir(Session())
     assert uuid.uuid4()
+
+
+def test_linked_cells(tmp_path):
+    import zipfile
+
+    from kinledger.sources import xlsx
+
+    m, r = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    path = tmp_path / "l.xlsx"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{m}" xmlns:r="{r}"><sheetData><row r="1"><c r="A1"/><c r="B1" t="inlineStr"><is><t>text</t></is></c></row></sheetData><hyperlinks><hyperlink ref="A1" r:id="a"/><hyperlink ref="B1" r:id="b"/></hyperlinks></worksheet>')
+        z.writestr("xl/worksheets/_rels/s.xml.rels", f'<R><x Id="a" Type="{r}/hyperlink" Target="mailto:a@b.example"/><x Id="b" Type="{r}/hyperlink" Target="https://b.example"/></R>')
+    with zipfile.ZipFile(path) as book:
+        assert list(xlsx.rows(book, "xl/worksheets/s.xml")) == [(1, ["a@b.example", "text"])]
