@@ -230,7 +230,8 @@ def town_hypotheses(p: dict, towns: Towns) -> list[tuple[int, float]]:
 def parts(rows: DataFrame, key: str, address: str, town_rows: list[dict]) -> tuple[DataFrame, DataFrame]:
     """(key, r_id; readings: r_id, n, parts of :func:`take_apart`): every address taken apart, each text once."""
     towns = Towns(town_rows)
-    texts = cut(rows.where(F.col(address).isNotNull()).groupBy(F.col(address).alias("text")).agg(F.count("*").alias("rows")))
+    rows = cut(rows)
+    texts, seen = cut(rows.where(F.col(address).isNotNull()).groupBy(F.col(address).alias("text")).agg(F.count("*").alias("rows")), n=F.count(F.lit(1)))
     # a reading of floor numbers or of the reference's own names is no type word
     places = {w for r in town_rows for c in ("town", "former_town", "state_name", "state_code") if r[c] for w in r[c].lower().split()}
     types = Types([w for w in type_words(texts, "text") if w not in places and w not in NEARBY and not re.fullmatch("[ivx]+", w)])
@@ -247,7 +248,7 @@ def parts(rows: DataFrame, key: str, address: str, town_rows: list[dict]) -> tup
         return pd.DataFrame(out, columns=PARTS_TYPE.names)
 
     names = [n for n in PARTS_TYPE.names if n != "unit"]
-    read = workers(texts, 0, "text").select("text", "rows", apart("text").alias("p")).select("text", "rows", "p.*")
+    read = workers(texts, seen.n, "text").select("text", "rows", apart("text").alias("p")).select("text", "rows", "p.*")
     whole = F.concat_ws("|", *[F.coalesce(F.col(n), F.lit("?")) for n in names[:-1]], F.array_join(F.transform("towns", lambda t: F.concat_ws(":", t["town_id"], t["penalty"])), ","))
     read = cut(read.withColumn("r_id", F.md5(whole)))
     readings = cut(read.groupBy("r_id").agg(F.sum("rows").alias("n"), *[F.first(n).alias(n) for n in names]))

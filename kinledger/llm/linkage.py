@@ -193,12 +193,14 @@ class Compared:
     def __init__(self, records: DataFrame, key: str, forms: DataFrame, company: str, offices: list[dict]):
         """``records`` has key, name, office, class; ``forms`` company, form (a name), office, class."""
         office = office_reader(offices)
-        names = cut(records.where("name is not null").groupBy("name").agg(F.count("*").alias("rows")))
+        one = F.count(F.lit(1))
+        names, n_names = cut(records.where("name is not null").groupBy("name").agg(F.count("*").alias("rows")), n=one)
+        forms, n_forms = cut(forms, n=one)
         words = channel(names, forms)
-        held = read_names(workers(forms, 0, "form"), [company, "office", "class"], "form", words, bare=True).withColumn("f_name", reading_key())
+        held = read_names(workers(forms, n_forms.n, "form"), [company, "office", "class"], "form", words, bare=True).withColumn("f_name", reading_key())
         held = held.select(company, "f_name", F.col("brand").alias("listed"), F.col("line").alias("meant"), F.col("prefix").alias("meant_prefix"), office("office").alias("of_office"), class_meant(F.col("class")).alias("of_class"))
         self.listed = cut(held.withColumn("f_id", F.concat_ws("|", "f_name", F.coalesce("of_office", F.lit("?")), F.coalesce("of_class", F.lit("?")))))
-        read = cut(read_names(workers(names, 0, "name"), ["name", "rows"], "name", words, bare=True).withColumn("reading", reading_key()))
+        read = cut(read_names(workers(names, n_names.n, "name"), ["name", "rows"], "name", words, bare=True).withColumn("reading", reading_key()))
         desk = records.where("name is not null").select(key, "name", office("office").alias("office"), class_meant(F.col("class")).alias("class"))
         placed = skew_join(desk, read.drop("rows"), "name", F.col(key), fans(read, "name", n="rows"))
         self.typed = cut(placed.withColumn("t_id", F.concat_ws("|", "reading", F.coalesce("office", F.lit("?")), F.coalesce("class", F.lit("?")))))

@@ -447,14 +447,15 @@ def attribute(claims: DataFrame, key: str, name: str, forms: DataFrame, company:
     the smaller company key. Posterior is relative to the other candidates of the row and to a name not on the list;
     companies listed under one and the same name share it.
     """
-    forms = forms.select(company, F.col(form).alias("form"))
-    typed = cut(claims.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")))
+    one = F.count(F.lit(1))
+    forms, n_forms = cut(forms.select(company, F.col(form).alias("form")).distinct(), n=one)
+    typed, n_typed = cut(claims.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n")), n=one)
     words = channel(typed, forms)
-    listed = read_names(workers(forms.distinct(), 0, "form"), [company], "form", words)
+    listed = read_names(workers(forms, n_forms.n, "form"), [company], "form", words)
     same = listed.groupBy("brand", F.col("line").alias("meant"), F.col("prefix").alias("meant_prefix")).agg(F.countDistinct(company).alias("holders"), F.min(company).alias("holder"))
     same = cut(same)
     # names are read once each and readings attached once each, however often they occur
-    variants = cut(read_names(workers(typed, 0, "name"), ["name", "n"], "name", words).withColumn("reading", reading_key()))
+    variants = cut(read_names(workers(typed, n_typed.n, "name"), ["name", "n"], "name", words).withColumn("reading", reading_key()))
     readings = cut(whole_lines(variants.groupBy("reading").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in READ_TYPE.names]), same, words))
     links = brand_links(readings, same)
     hot_brands = fans(readings.groupBy("brand").agg(F.count("*").alias("n")), "brand", limit=10_000)

@@ -91,6 +91,27 @@ def test_same_premises(spark):
     assert addresses.same_premises(df.limit(0), "row", "address", TOWNS).collect() == []
 
 
+def test_type_words_are_learnt(spark):
+    names = ["nexihe", "baruko", "mofeta", "hilova", "zudori", "kepasu"]
+    rows = [(f"{i} {n} {kind}, {n} bhvn, Harinpur",) for i, n in enumerate(names) for kind in ("rd", "mrg")] + [(None,), ("",)]
+    words = addresses.type_words(spark.createDataFrame(rows, "address string"), "address")
+    assert {"rd", "mrg", "bhvn"} <= set(words) and "nexihe" not in words
+    types = addresses.Types(words)
+    assert types.street_type("rd") == "road" and types.street_type("mrg") == "marg" and types.street_type("raod") == "road" and types.street_type("plaza") is None
+    assert types.is_type("bhvn", "building") and not types.is_type("bhvn", "locality") and types.is_type("chamber", "building")
+    assert addresses.is_floor("flor") and addresses.is_floor("fl") and not addresses.is_floor("four")
+
+
+def test_tied_towns_and_classes(spark):
+    towns = [{"town_id": i, "town": f"Town{chr(97 + i)}{chr(97 + i)}pur", "former_town": None, "state_code": "VP", "state_name": "Varun Pradesh", "pin_prefix": 500} for i in range(12)]
+    assert len(addresses.town_hypotheses({"named": [], "of_state": set(range(12)), "pin": None}, addresses.Towns(towns))) == 12
+    assert len(addresses.town_hypotheses({"named": [], "of_state": set(), "pin": "500001"}, addresses.Towns(towns))) == 12
+    rows = [(1, "Wupusi Plaza, 12 Nexihe Road, Harinpur"), (2, "Wupusi Plaza, Harinpur"), (3, "9 Baruko Lane, Harinpur"), (4, None)]
+    df = spark.createDataFrame(rows, "row int, address string")
+    got = {r.row: r.others for r in addresses.premises_sizes(df, "row", "address", TOWNS).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
 FORMS = [(1, "MAKANO AGRO FINANCE"), (2, "MAKANO HOUSING FINANCE"), (3, "VETEFOFO GOLD LOANS"), (3, "RASAXOMO GOLD LOANS"), (4, "PULODAZI HIRE PURCHASE"), (5, "NEW KOZENUZO SECURITIES AND FINANCE"), (6, "WIBOZIWA FINANCE")]
 FORMS += [(100 + 10 * i + j, f"{b} {t}") for i, t in enumerate(["AGRO FINANCE", "HOUSING FINANCE", "GOLD LOANS", "HIRE PURCHASE", "SECURITIES AND FINANCE", "FINANCE"]) for j, b in enumerate(["ZURIBALO", "TEMOKISA", "HALUVINE", "DOFIREKU"])]
 CLAIMS = {
