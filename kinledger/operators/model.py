@@ -45,7 +45,7 @@ def fit_models(train: DataFrame, features: list[str], label: str, seed: int = 20
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    assemble = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip")
+    assemble = VectorAssembler(inputCols=features, outputCol="raw")
     scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)
     n = max(train.count(), 1)
     kinds = {

@@ -247,3 +247,17 @@ def test_linked_cells(tmp_path):
         z.writestr("xl/worksheets/_rels/s.xml.rels", f'<R><x Id="a" Type="{r}/hyperlink" Target="mailto:a@b.example"/><x Id="b" Type="{r}/hyperlink" Target="https://b.example"/></R>')
     with zipfile.ZipFile(path) as book:
         assert list(xlsx.rows(book, "xl/worksheets/s.xml")) == [(1, ["a@b.example", "text"])]
+
+
+def test_entry_functions(spark):
+    from kinledger import api
+
+    e = entities(spark)
+    assert api.search(e, "Makano Gold Loans Ltd", "registered_nbfc", "3").first().entity_id == "registered_nbfc:0"
+    for bad in (("x", "all", 5), ("y" * 301, "all", 5), ("makano", "nowhere", 5), ("makano", "all", "many")):
+        with pytest.raises(api.InvalidInput):
+            api.search(e, *bad)
+    assert api.record(e, "bank:1").first().name == "Bank of Zuri" and api.record(e, "bank:1; --").count() == 0 and api.record(e, "other:1").count() == 0
+    assert api.identify(e, query="https://net.zuri.example/x").first().identified_by == "official_website"
+    with pytest.raises(api.InvalidInput):
+        api.identify(e)
