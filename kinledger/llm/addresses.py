@@ -43,7 +43,7 @@ FLOOR = re.compile(r"\b(?:\d+(?:st|nd|rd|th)?|[ivx]+|ground) *([a-z]{2,7})\b\.?"
 UNIT = re.compile(r"\b(?:unit|suite|office no|office|shop no|shop|flat no|flat|room no|room)\b\.? *(?:no\b\.? *)?([0-9]+[a-z]?(?:-[a-z0-9]+)?)\b")
 PIN = re.compile(r"(?:\bpin(?:code)?\b[ .:-]*|- *)?(?<![0-9/])([1-9][0-9]{2}) ?([0-9]{3})(?![0-9/])")
 NUMBER = r"(?:#|\bplot no\b\.?|\bplot\b|\bd\.? ?no\b\.?|\bdoor no\b\.?|\bno\b\.?)? *(?<![0-9a-z/])([0-9]+[a-z]?(?:/[0-9]+[a-z]?)?)(?![0-9a-z/])"
-STREET_LOOSE = re.compile(NUMBER + r"[ ,;|-]+([a-z]+) +([a-z]{3,7})\b\.?")
+STREET_LOOSE = re.compile(NUMBER + r"[ ,;|-]+([a-z]+) +([a-z]{2,7})\b\.?")
 NUMBER_ONLY = re.compile(NUMBER)
 
 
@@ -52,15 +52,15 @@ def is_floor(word: str) -> bool:
 
 
 class Types:
-    """What a type word stands for: the words learnt, and slips of the full ones."""
+    """What a type word stands for: the words learnt, beside them abbreviations and slips of the full ones, word by word."""
 
     def __init__(self, words: list[str]):
         self.known: dict[str, tuple[str, str]] = {w: (kind, w) for kind, ws in TYPES.items() for w in ws}
+        self.memo: dict[str, tuple[str, str] | None] = {}
         for t in words:
-            bare = t.replace("/", "").replace(".", "")
-            best = min(((c, kind, w) for kind, ws in TYPES.items() for w in ws if (c := self._cost(bare, w)) < 9), default=None)
-            if best and t not in self.known:
-                self.known[t] = best[1:]
+            best = self.read(t)
+            if best:
+                self.known.setdefault(t, best)
         streets = sorted((t for t, (kind, _) in self.known.items() if kind == "street"), key=len, reverse=True)
         short = "|".join(map(re.escape, streets))
         self.street = re.compile(NUMBER + r"[ ,;|-]+([a-z]+) +(" + short + r")\b\.?")
@@ -70,19 +70,29 @@ class Types:
     def _cost(t: str, w: str) -> float:
         if t == w:
             return 0.0
-        if len(t) >= 4 and osa(t, w, 1) <= 1:
+        if len(t) >= (4 if len(w) >= 5 else 3) and osa(t, w, 1) <= 1:
             return 1.0
         return 1.5 - 0.01 * len(t) + (0.0 if w.startswith(t) else 0.2) if abbreviates(t, w) else 9.0
 
+    def read(self, word: str) -> tuple[str, str] | None:
+        """(kind, full word) a word is nearest to by its spelling, None for words like none of them."""
+        if word in self.known:
+            return self.known[word]
+        if word not in self.memo:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            bare = word.replace("/", "").replace(".", "")
+            best = None if bare in NEARBY else min(((c, kind, w) for kind, ws in TYPES.items() for w in ws if (c := self._cost(bare, w)) < 9), default=None)
+            self.memo[word] = best and best[1:]
+        return self.memo[word]
+
     def street_type(self, word: str) -> str | None:
-        if self.known.get(word, ("", ""))[0] == "street":
-            return self.known[word][1]
-        return next((w for w in TYPES["street"] if len(word) >= 3 and osa(word, w, 1) <= 1), None)
+        found = self.read(word)
+        return found[1] if found and found[0] == "street" else None
 
     def is_type(self, word: str, kind: str) -> bool:
-        if word in self.known:
-            return self.known[word][0] == kind
-        return len(word) >= 5 and any(osa(word, w, 1) <= 1 for w in TYPES[kind]) or len(word) >= 4 and any(len(w) == 5 and osa(word, w, 1) <= 1 for w in TYPES[kind])
+        found = self.read(word)
+        return found is not None and found[0] == kind
 
 
 def type_words(rows: DataFrame, address: str) -> list[str]:

@@ -2,8 +2,8 @@
 
 Positives are nothing but artificial cuts of intact values: at random places, near the end, at the field limits of the
 value's own source, some with the remark behind them that another sampled text closes with. Negatives are the values as
-they are; a first fit on one half shows which values of the other half are hardly intact, and these are left out (never
-taken as positives). Limits are counted over all rows: lengths, in characters or bytes, that a source reaches far more
+they are; a first fit on one half, on the form of closings alone, shows which values of the other half are hardly intact,
+and these are left out (never taken as positives). Words stay out of that fit, or what is often cut at would look usual. Limits are counted over all rows: lengths, in characters or bytes, that a source reaches far more
 often than their neighbours. Words that texts use before their end are counted over all rows too; only the fit itself
 works on a sample, which is drawn, cut and turned into feature numbers on the executors and depends on the rows alone,
 not on their order or partitions.
@@ -27,7 +27,7 @@ BITS = 16
 TRAIN_ROWS = 8_000
 THRESHOLD = 0.6
 #: Values as they are that the other half's fit gives more than this are not taken as intact.
-DOUBT, HALF_STEPS = 0.8, 600
+DOUBT, DOUBT_ROUNDS, HALF_STEPS = 0.8, 3, 500
 NEAR = 25
 SPIKE = 6.0
 SPIKE_ROWS = 8
@@ -89,7 +89,7 @@ def last_word(text: str) -> str | None:
 
 
 def features(text: str, limit: str, is_known: bool) -> np.ndarray:
-    """Hashed indices of a text's closing; ``limit`` is '' (not used), 'none', 'chars' or 'bytes'.
+    """Hashed indices of a text's closing; ``limit`` is 'none', 'chars', 'bytes' or '' (forms only: no limits, no words).
 
     ``is_known`` says whether the last word is one of :func:`known_words`.
     """
@@ -111,7 +111,6 @@ def features(text: str, limit: str, is_known: bool) -> np.ndarray:
     f = [
         "bias",
         f"state={state}",
-        f"mark={mark.lower()}",
         f"markshape={_shape(mark[:1])}{_shape(mark[-1:])}|{min(len(mark.split()), 4)}",
         f"mark={bool(mark)}|{state}|{is_known}",
         f"end={_shape(end)}|{kind}",
@@ -121,23 +120,29 @@ def features(text: str, limit: str, is_known: bool) -> np.ndarray:
         f"opened={opened}|{kind}",
         f"known={is_known}|{state}",
         f"line={min(n_words, 12)}|{state}",
-        f"first={plain(last.split()[0]) if last else ''}|{min(n_words, 6)}|{sentence}",
         f"firstchar={_shape(last[:1])}{last[:1] if not last[:1].isalnum() else ''}|{min(n_words, 6)}|{sentence}",
-        f"before={plain(before)[-24:]}|{min(n_words, 4)}|{sentence}",
         f"beforeend={_shape(before[-1:])}|{min(n_words, 6)}|{sentence}|{is_known}",
-        f"last={plain(last)}" if len(last) <= 60 else "last=long",
-        f"rest={plain(since)}" if len(since) <= 20 else "rest=long",
-        f"signed={plain(before)[-24:]}|{n_words <= 6}",
     ]
     own_line = f"{len(lines) > 1 and n_words <= 8}|{plain(last.split()[0]) if n_words > 1 and n_words <= 8 and len(lines) > 1 else ''}"
-    for n in (1, 2, 3):
-        f.append(f"w{n}=" + " ".join(words[-n:]) + f"|{len(lines) > 1 and n_words <= 8}")
-    f.append(f"own={own_line}|{words[-1] if words else ''}")
-    f.append(f"own={own_line}|{is_known}")
+    f.append(f"ownline={len(lines) > 1 and n_words <= 8}|{sentence}|{is_known}")
     if words:
         f.append(f"len={min(len(words[-1]), 12)}|{_shape(tail[-1][:1])}|{sentence}|{is_known}")
-    if limit:
-        f += [f"limit={limit != 'none'}|{state}", f"limit={limit != 'none'}|mark={bool(mark)}|{sentence}|{is_known}", f"limit={limit}|{is_known}"]
+    if not limit:
+        return np.array([_h(x) for x in f], dtype=np.int32)
+    f += [
+        f"mark={mark.lower()}",
+        f"first={plain(last.split()[0]) if last else ''}|{min(n_words, 6)}|{sentence}",
+        f"before={plain(before)[-24:]}|{min(n_words, 4)}|{sentence}",
+        f"last={plain(last)}" if len(last) <= 60 else "last=long",
+        f"rest={plain(since)}" if len(since) <= 20 else "rest=long",
+        f"signed={plain(before)[-24:]}|{n_words <= 6}",
+        f"own={own_line}|{words[-1] if words else ''}",
+        f"own={own_line}|{is_known}",
+        *[f"w{n}=" + " ".join(words[-n:]) + f"|{len(lines) > 1 and n_words <= 8}" for n in (1, 2, 3)],
+        f"limit={limit != 'none'}|{state}",
+        f"limit={limit != 'none'}|mark={bool(mark)}|{sentence}|{is_known}",
+        f"limit={limit}|{is_known}",
+    ]
     return np.array([_h(x) for x in f], dtype=np.int32)
 
 
@@ -199,19 +204,18 @@ def score(weights: np.ndarray, f: np.ndarray) -> float:
 def field_limits(docs: DataFrame, text: str, source: str) -> DataFrame:
     """(source, unit, length) of the lengths a source hits at least SPIKE times as often as the NEAR lengths around.
 
-    They must also stand out from the source's other lengths, else a source of few lengths would have nothing but limits.
-    Counts cover all rows and are aggregated before any window, so a window sees lengths, never texts.
+    Counts are of different texts over all rows and are aggregated before any window, so a window sees lengths, never texts.
     """
     sized = docs.where(F.length(text) > 0).select(
         F.coalesce(F.col(source), F.lit("")).alias("source"),
+        F.xxhash64(text).alias("h"),
         F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("length")))).alias("s"),
     )
-    counts = sized.groupBy("source", "s.unit", "s.length").agg(F.count("*").alias("n"))
+    # copies of one text count once: many texts must share the length
+    counts = sized.select("source", "s.unit", "s.length", "h").distinct().groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
     around = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
-    # the tested length itself must not be the measure: in a source of few lengths the 95th percentile is the largest count
-    usual = counts.groupBy("source", "unit").agg(F.least(F.percentile_approx("n", 0.95), 10 * F.percentile_approx("n", 0.5)).alias("usual"))
-    return counts.withColumn("around", around).join(usual, ["source", "unit"]).where(F.col("n") >= 3 * F.col("usual")).where((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE * F.greatest("around", F.lit(0.5)))).select("source", "unit", "length")
+    return counts.withColumn("around", around).where((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE * F.greatest("around", F.lit(0.5)))).select("source", "unit", "length")
 
 
 def with_limits(docs: DataFrame, key: str, text: str, source: str, limits: DataFrame) -> DataFrame:
@@ -317,8 +321,11 @@ def train(labelled: DataFrame, key: str, known: DataFrame, size: int, limits: Da
     rows_ = sorted((r.seed, r.label, r.plain, r.full) for r in found.collect())
     plain_rows = [(np.array(p, dtype=np.int32), y) for _, y, p, _ in rows_]
     half = [s & 1 for s, *_ in rows_]
-    halves = [fit([x for x, h in zip(plain_rows, half, strict=True) if h == side], HALF_STEPS) for side in (0, 1)]
-    doubtful = [y == 0 and score(halves[1 - h], f) > DOUBT for (f, y), h in zip(plain_rows, half, strict=True)]
+    doubtful = [False] * len(rows_)
+    for _ in range(DOUBT_ROUNDS):
+        # each round learns from the other half without what the round before doubted
+        halves = [fit([x for x, h, out in zip(plain_rows, half, doubtful, strict=True) if h == side and not out], HALF_STEPS) for side in (0, 1)]
+        doubtful = [y == 0 and score(halves[1 - h], f) > DOUBT for (f, y), h in zip(plain_rows, half, strict=True)]
     return fit([(np.array(f, dtype=np.int32), y) for (_, y, _, f), out in zip(rows_, doubtful, strict=True) if not out])
 
 
