@@ -414,6 +414,13 @@ def line_costs(words: Words):
     return cost
 
 
+def near_brands(brands: DataFrame, known: DataFrame) -> DataFrame:
+    """(brand, listed) that share a key. A brand has some hundred keys, which Spark's sizes don't know: never broadcast."""
+    keyed = known.select("listed", F.explode(_indexed("listed")).alias("k"))
+    wanted = brands.select("brand", F.explode(_searched("brand")).alias("k"))
+    return wanted.hint("merge").join(keyed.hint("merge"), "k").select("brand", "listed").distinct()
+
+
 def brand_links(typed: DataFrame, listed: DataFrame) -> DataFrame:
     """(brand, listed, brand_cost): for each typed brand every listed one it may stand for, itself included.
 
@@ -422,9 +429,7 @@ def brand_links(typed: DataFrame, listed: DataFrame) -> DataFrame:
     """
     brands, n_brands = cut(typed.select("brand").distinct(), n=F.count(F.lit(1)))
     known, n_known = cut(listed.select(F.col("brand").alias("listed")).distinct(), n=F.count(F.lit(1)))
-    keyed = workers(known, n_known.n, "listed", 10_000).select("listed", F.explode(_indexed("listed")).alias("k"))
-    wanted = workers(brands, n_brands.n, "brand", 10_000).select("brand", F.explode(_searched("brand")).alias("k"))
-    near, seen = cut(wanted.join(keyed, "k").select("brand", "listed").distinct(), n=F.count(F.lit(1)))
+    near, seen = cut(near_brands(workers(brands, n_brands.n, "brand", 10_000), workers(known, n_known.n, "listed", 10_000)), n=F.count(F.lit(1)))
     return cut(workers(near, seen.n, "brand").withColumn("brand_cost", _brand_cost("brand", "listed")).where("brand_cost < 99"))
 
 

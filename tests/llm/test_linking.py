@@ -208,3 +208,12 @@ def test_truncation_model_depends_on_rows_alone(spark):
         labelled = truncation.with_limits(shaped, "doc_id", "text", "source", limits)
         models.append(truncation.train(labelled, "doc_id", truncation.known_words(labelled), 1000, limits))
     assert (models[0] == models[1]).all() and models[0].any()
+
+
+def test_keys_of_brands_are_never_broadcast(spark):
+    """A brand of 15 letters has some hundred keys: a side that looks small would be gathered on the driver as all of them."""
+    brands = spark.createDataFrame([("kihadelazo",), ("kihadelaz",), ("mobutirega",)], "brand string").repartition(2, "brand")
+    known = spark.createDataFrame([("kihadelazo",), ("mobtirega",)], "listed string").repartition(2, "listed")
+    near = names.near_brands(brands, known)
+    assert {tuple(r) for r in near.collect()} >= {("kihadelazo", "kihadelazo"), ("kihadelaz", "kihadelazo"), ("mobutirega", "mobtirega")}
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
