@@ -183,7 +183,8 @@ def further_pairs(typed: DataFrame, listed: DataFrame, links: DataFrame, words:
     asked = cut(typed.where("office is not null").withColumn("k", F.explode(block_keys(words, _typed_initials)("brand", "line"))).withColumn("k", F.concat_ws("|", "office", "k")))
     known = listed.where("of_office is not null").withColumn("k", F.explode(block_keys(words, _initials)("listed", "meant"))).withColumn("k", F.concat_ws("|", "of_office", "k"))
     hot = fans(asked.groupBy("k").agg(F.count("*").alias("n")), "k", limit=10_000)
-    both = salt(asked, hot, "k", F.col("t_id")).join(spread(known, hot, "k"), ["k", "_salt"]).drop("k", "_salt").dropDuplicates(["t_id", "f_id"])
+    # the keys of a side look as small as the rows they come from, so that neither is left to be broadcast
+    both = salt(asked, hot, "k", F.col("t_id")).hint("merge").join(spread(known, hot, "k").hint("merge"), ["k", "_salt"]).drop("k", "_salt").dropDuplicates(["t_id", "f_id"])
     return both.join(links.select("brand", "listed"), ["brand", "listed"], "left_anti")
 
 

@@ -217,3 +217,12 @@ def test_keys_of_brands_are_never_broadcast(spark):
     near = names.near_brands(brands, known)
     assert {tuple(r) for r in near.collect()} >= {("kihadelazo", "kihadelazo"), ("kihadelaz", "kihadelazo"), ("mobutirega", "mobtirega")}
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_further_passes_are_never_broadcast(spark):
+    typed = spark.createDataFrame([("t", "kihadelazo", ["gold"], "x")], "t_id string, brand string, line array<string>, office string")
+    listed = spark.createDataFrame([("f", "kihazzzz", ["gold"], "x")], "f_id string, listed string, meant array<string>, of_office string")
+    links = spark.createDataFrame([], "brand string, listed string")
+    met = linkage.further_pairs(typed, listed, links, names.Words(["gold", "loans"]))
+    assert [(r.t_id, r.f_id) for r in met.collect()] == [("t", "f")]
+    assert "BroadcastHashJoin [k" not in met._jdf.queryExecution().executedPlan().toString()
