@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import zipfile
 
 import pytest
@@ -31,6 +32,29 @@ def test_search_survives_a_typo_and_ties_follow_position(spark):
     assert retrieve.search_candidates(claims.limit(0), "claim_id", entities(spark), 5).collect() == []
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_search_by_blocks_equals_brute_force(spark, monkeypatch, block):
+    from kinledger.operators import scored
+
+    monkeypatch.setattr(scored, "BLOCK_ENTITIES", block)
+    monkeypatch.setattr(retrieve, "NGRAM_BELOW", 4)
+    names = ["ARO BELA", "ARO BELA", "ARO CITU", "DEMA CITU", "DEMA BELA ARO", "BELACITU", "XELA", "AROBELA"]
+    listed = [(i, n + " LIMITED", n, [], None, []) for i, n in enumerate(names)]
+    asked = {1: "ARO BELA", 2: "CITU", 3: "BELAC", 4: "ZZZ", 5: "ARO DEMA BELA"}
+    claims = spark.createDataFrame([(k, n, n) for k, n in asked.items()], "claim_id int, name_normalized string, name_core string")
+    got = {(r.claim_id, r["rank"]): (r.pos, r.score) for r in retrieve.search_candidates(claims, "claim_id", entities(spark, listed), 2).collect()}
+    grams = lambda n: {n.replace(" ", "")[i : i + 3] for i in range(max(1, len(n.replace(" ", "")) - 2))}
+    idf = lambda t: math.log((len(names) + 1) / (sum(t in n.split() for n in names) + 1)) + 1
+    want = {}
+    for k, q in asked.items():
+        w = {i: sum(idf(t) for t in set(q.split()) & set(n.split())) for i, n in enumerate(names)}
+        thin = sum(x > 0 for x in w.values()) < 4
+        full = {i: round(x + (0.35 * len(grams(q) & grams(names[i])) if thin else 0) + 1000 * (q == names[i]), 6) for i, x in w.items()}
+        best = sorted((-x, i) for i, x in full.items() if x > 0)[:2]
+        want |= {(k, r + 1): (i, pytest.approx(-x)) for r, (x, i) in enumerate(best)}
+    assert got == want
+
+
 def test_fuzzy_search_equals_brute_force(spark):
     from kinledger.functions.similarity import pg_similarity
 
