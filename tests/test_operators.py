@@ -24,6 +24,27 @@ def test_identify_and_parents(spark):
     assert got == {(1, 1): "cin", (1, 3): "exact_name", (2, 2): "contact_domain", (3, 1): "former_name"}
 
 
+@pytest.mark.parametrize("hot", [1, 1_000_000])
+def test_identify_with_shared_domains_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(retrieve, "HOT_PAIRS", hot)
+    listed = [(i, f"N{i} LIMITED", f"N{i}", [], f"C{i}", ["post.example", f"own{i}.example"]) for i in range(6)]
+    e = entities(spark, listed)
+    asked = [(k, f"C{k}" if k % 2 else None, f"N{k % 3} LIMITED" if k > 3 else None, f"own{k}.example" if k == 4 else None, "mail.post.example") for k in range(8)]
+    claims = spark.createDataFrame(asked, "claim_id int, cin string, name_normalized string, host string, email_host string")
+    rows = retrieve.identify(claims, "claim_id", corpus.entity_keys(e), e.select("pos", "id")).collect()
+    want = {}
+    for k, cin, name, _, _ in asked:
+        for i in range(6):
+            routes = [r for r, hit in (("cin", cin == f"C{i}"), ("exact_name", name == f"N{i} LIMITED"), ("contact_domain", True)) if hit]
+            want[k, f"list:{i}"] = (routes[0], sorted(routes))
+    assert len(rows) == len(want) and {(r.claim_id, r.id): (r.identified_by, list(r.routes)) for r in rows} == want
+    best = retrieve.identified_best(claims.withColumn("text", F.lit("N5")), "claim_id", corpus.entity_keys(e), e.select("pos", F.col("name_core").alias("text"), F.lit(0).alias("place")), 2)
+    assert {(r.claim_id, f"list:{r.pos}"): r.identified_by for r in best.collect()} == {k: v[0] for k, v in want.items()}
+    monkeypatch.setattr(retrieve, "FEW_ENTITIES", 1)
+    near = retrieve.identified_best(claims.where("claim_id = 0").withColumn("text", F.lit("N5")), "claim_id", corpus.entity_keys(e), e.select("pos", F.col("name_core").alias("text"), F.lit(0).alias("place")), 2)
+    assert {r.pos for r in near.collect()} == {0, 5}
+
+
 def test_search_survives_a_typo_and_ties_follow_position(spark):
     claims = spark.createDataFrame([(1, "BAJAJJ FINANCE", "BAJAJJ FINANCE"), (2, "ZED LIMITED", "ZED"), (3, "X", "X"), (4, None, None)], "claim_id int, name_normalized string, name_core string")
     got = retrieve.search_candidates(claims, "claim_id", entities(spark), 5).collect()
