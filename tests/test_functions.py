@@ -68,3 +68,12 @@ def test_jaro_winkler_is_bounded(a, b):
         assert s == 1
     if not set(a) & set(b) and (a or b):
         assert s == 0
+
+
+def test_similarity_of_pairs_equals_the_expressions(spark):
+    from kinledger.functions.similarity import name_similarity, token_jaccard, trigram_similarity
+
+    texts = ["", "A", "ARO BELA", "BELA  ARO", " ARO", "AROBELA LOANS", "ÅRO bela"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    rows = pairs.select("a", "b", name_similarity("a", "b").alias("got"), F.greatest(token_jaccard(F.col("a"), F.col("b")), trigram_similarity(F.col("a"), F.col("b"))).alias("want")).collect()
+    assert [(r.a, r.b, r.got) for r in rows] == [(r.a, r.b, r.want) for r in rows]
