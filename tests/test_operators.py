@@ -207,3 +207,32 @@ def test_merge_profile_report(spark):
     assert (r["name"], r.names, r.categories, r.category, r.address) == ("Alpha Bank", ["Alpha", "Alpha Bank"], ["X", "Y"], "Y", "addr")
     p = {x.column_name: (x.n_rows, x.n_null, x.n_distinct) for x in ingest.profile(df, ["core", "cat"]).collect()}
     assert p == {"core": (3, 1, 1), "cat": (3, 1, 2)}
+
+
+def test_nearest_names_against_all_pairs(monkeypatch):
+    """The kernel of the fuzzy name search, with few and with many common words, over ties, repeated and empty sides."""
+    import random
+
+    import pyarrow as pa
+
+    from kinledger.operators import scored
+
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+    schema = pa.schema([("kind", pa.int32()), ("text", pa.string()), ("id", pa.int32()), ("similarity", pa.float32())])
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))
+    tails = ["gold loans limited", "gold limited", "finance private limited", ""]
+    texts = sorted({f"{word()} {rng.choice(tails)}".strip() for _ in range(150)})
+    names = [(i, rng.choice(texts[:60]) if i % 3 else f"{word()} {rng.choice(tails)}".strip()) for i in range(200)]
+    names.append((200, ""))
+    for share in (0.0, 0.02, 0.2, 2.0):
+        monkeypatch.setattr(scored, "COMMON_WORD", share)
+        held = pa.table({"id": pa.array([i for i, _ in names], pa.int32()), "sort_name": [f"n{i % 7}" for i, _ in names], "words": [t for _, t in names]})
+        asked = pa.table({"kind": pa.array([0] * len(texts), pa.int32()), "text": texts, "words": texts})
+        got = {}
+        for r in scored.nearest(5, 0.3, schema)(asked, held).to_pylist():
+            got.setdefault(r["text"], []).append((round(r["similarity"], 5), r["id"]))
+        for t in texts:
+            sims = [(len(grams(t) & grams(x)) / len(grams(t) | grams(x)), f"n{i % 7}", i) for i, x in names]
+            assert got.get(t, []) == [(round(s, 5), i) for s, _, i in sorted((x for x in sims if x[0] >= 0.3), key=lambda x: (-x[0], *x[1:]))[:5]], (share, t)
+        assert scored.nearest(5, 0.3, schema)(asked, held.slice(0, 0)).num_rows == scored.nearest(5, 0.3, schema)(asked.slice(0, 0), held).num_rows == 0
