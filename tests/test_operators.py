@@ -236,3 +236,51 @@ def test_nearest_names_against_all_pairs(monkeypatch):
             sims = [(len(grams(t) & grams(x)) / len(grams(t) | grams(x)), f"n{i % 7}", i) for i, x in names]
             assert got.get(t, []) == [(round(s, 5), i) for s, _, i in sorted((x for x in sims if x[0] >= 0.3), key=lambda x: (-x[0], *x[1:]))[:5]], (share, t)
         assert scored.nearest(5, 0.3, schema)(asked, held.slice(0, 0)).num_rows == scored.nearest(5, 0.3, schema)(asked.slice(0, 0), held).num_rows == 0
+
+
+def test_scoring_meets_only_what_a_claim_shares(monkeypatch):
+    """Blocking scores against plain sums; a claim's work follows its postings, no array of all places is made for it."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from kinledger.operators import scored
+
+    rng = random.Random(5)
+    schema = pa.schema([("k", pa.int64()), ("pos", pa.int64()), ("w", pa.float64()), ("by_grams", pa.bool_()), ("n1", pa.int64())])
+    posts = [(kind, f"{kind}{i}", rng.random() + 0.5 if kind == "w" else None, sorted(rng.sample(range(1000, 1400), rng.randrange(1, 60)))) for kind in "wg" for i in range(30)]
+    posts[3][3].append(posts[3][3][0])  # a place of two rows counts twice
+    posts[40][3].append(posts[40][3][0])
+    index = pa.table({"kind": [p[0] for p in posts], "term": [p[1] for p in posts], "idf": pa.array([p[2] for p in posts], pa.float64()), "at": pa.array([p[3] for p in posts], pa.list_(pa.int64()))})
+    asked = [(i, rng.sample([f"w{j}" for j in range(40)], i % 5), rng.sample([f"g{j}" for j in range(40)], 2 * (i % 4)), rng.sample(range(990, 1400), i % 3)) for i in range(40)]
+    claims = pa.table({"k": [a[0] for a in asked], "words": pa.array([a[1] for a in asked], pa.list_(pa.string())), "grams": pa.array([a[2] for a in asked], pa.list_(pa.string())), "sure": pa.array([a[3] for a in asked], pa.list_(pa.int64()))})
+    by_term = {p[1]: p for p in posts}
+    dense = []
+    real = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: dense.append(1) or real(*a, **k))
+    for blocks, below in ((1, 60), (2, 60), (1, 0), (1, 10_000)):
+        got = {}
+        for r in scored.scoring("k", 7, below, 0.35, blocks, schema)(claims, index).to_pylist():
+            if r["pos"] is not None:
+                assert got.setdefault((r["k"], r["by_grams"]), {}).setdefault(r["pos"], r["w"]) == r["w"]
+            else:
+                got[r["k"], "n1"] = r["n1"]
+        for key, ws, gs, sure in asked:
+            w, n_grams = {}, {}
+            for t in ws:
+                for pos in by_term[t][3] if t in by_term else []:
+                    w[pos] = w.get(pos, 0.0) + by_term[t][2]
+            n1 = len(w)
+            for t in gs:
+                for pos in by_term[t][3] if t in by_term else []:
+                    n_grams[pos] = n_grams.get(pos, 0) + 1
+            whole = {pos: w.get(pos, 0.0) + 0.35 * n_grams.get(pos, 0) for pos in {*w, *n_grams}}
+            for by_grams, sums in ((False, w), (True, whole)):
+                if (by_grams and n1 >= below) or (not by_grams and blocks == 1 and n1 < below):
+                    assert (key, by_grams) not in got
+                    continue
+                first = sorted(sums, key=lambda pos: (-round(sums[pos] * 1e6), pos))[: max(7, len(sure))]
+                assert got.get((key, by_grams), {}) == pytest.approx({pos: sums[pos] for pos in {*first, *(x for x in sure if x in sums)}})
+            assert blocks == 1 or got[key, "n1"] == n1
+    assert not dense
