@@ -1,10 +1,12 @@
-"""Match models: scorers as expressions, training with MLlib."""
+"""Match models: scorers as expressions, training with MLlib and by :mod:`kinledger.operators.trees`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinledger.operators.trees import TreeModel, grow
+
 
 def sigmoid(x: Column) -> Column:
     e = F.exp(-F.abs(x))
@@ -40,20 +42,9 @@ def boosted_score(trees: list[dict], base: float, rate: float) -> Column:
 
 
 def fit_models(train: DataFrame, features: list[str], label: str, seed: int = 20260629, trees: int = 120, rounds: int = 200):
-    """{name: fitted pipeline} of logistic regression, random forest and boosted trees."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
-    assemble = VectorAssembler(inputCols=features, outputCol="raw")
-    scale = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)
-    n = max(train.count(), 1)
-    kinds = {
-        "logistic": [assemble, scale, LogisticRegression(featuresCol="scaled", labelCol=label, maxIter=200, regParam=1.0 / n)],
-        "forest": [assemble, RandomForestClassifier(featuresCol="raw", labelCol=label, numTrees=trees, maxDepth=12, minInstancesPerNode=20, seed=seed)],
-        "boosted": [assemble, GBTClassifier(featuresCol="raw", labelCol=label, maxIter=rounds, maxDepth=3, stepSize=0.1, seed=seed)],
-    }
-    return {name: Pipeline(stages=stages).fit(train) for name, stages in kinds.items()}
+    """{name: fitted model, for :func:`score_with`} of logistic regression, random forest and boosted trees."""
+    grown = grow(train, features, label, seed, {"trees": trees, "depth": 12, "least": 20}, {"rounds": rounds, "depth": 3, "rate": 0.1})
+    return {"logistic": fit_logistic(train, features, label), **grown}
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str):
@@ -77,6 +68,8 @@ def export_logistic(fitted, features: list[str]) -> tuple[dict[str, float], floa
 
 def score_with(model, df: DataFrame) -> DataFrame:
     """``df`` plus ``p``, the probability of class 1."""
+    if isinstance(model, TreeModel):
+        return df.withColumn("p", model.probability())
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("raw", "scaled", "rawPrediction", "probability", "prediction")
