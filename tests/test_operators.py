@@ -76,6 +76,28 @@ def test_search_by_blocks_equals_brute_force(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_whole_search_follows_every_word_and_gram(spark, monkeypatch, block):
+    from kinledger.operators import scored
+
+    monkeypatch.setattr(scored, "BLOCK_ENTITIES", block)
+    monkeypatch.setattr(retrieve, "NGRAM_BELOW", 2)
+    monkeypatch.setattr(corpus, "CEILING_LEAST", 1)
+    names = ["ARO BELA", "ARO BELA", "ARO CITU", "DEMA CITU", "DEMA BELA ARO", "BELACITU", "XELA", "AROBELA"]
+    listed = [(i, n + " LIMITED", n, [], None, []) for i, n in enumerate(names)]
+    asked = {1: "ARO BELA", 2: "CITU", 3: "BELAC", 4: "ZZZ", 5: "ARO DEMA BELA"}
+    claims = spark.createDataFrame([(k, n, n) for k, n in asked.items()], "claim_id int, name_normalized string, name_core string")
+    rows = lambda df: {(r.claim_id, r.pos): (r["rank"], r.score) for r in df.collect()}
+    grams = lambda n: {n.replace(" ", "")[i : i + 3] for i in range(max(1, len(n.replace(" ", "")) - 2))}
+    idf = lambda t: math.log((len(names) + 1) / (sum(t in n.split() for n in names) + 1)) + 1
+    want = {}
+    for k, q in asked.items():
+        full = {i: round(sum(idf(t) for t in set(q.split()) & set(n.split())) + 0.35 * len(grams(q) & grams(n)) + 1000 * (q == n), 6) for i, n in enumerate(names)}
+        want |= {(k, i): (r + 1, pytest.approx(-x)) for r, (x, i) in enumerate(sorted((-x, i) for i, x in full.items() if x > 0))}
+    assert rows(retrieve.search_candidates(claims, "claim_id", entities(spark, listed), 8, scan_cap=1, whole=True)) == want
+    assert rows(retrieve.search_candidates(claims, "claim_id", entities(spark, listed), 8, scan_cap=1)) != want
+
+
 def test_fuzzy_search_equals_brute_force(spark):
     from kinledger.functions.similarity import pg_similarity
 
