@@ -1,7 +1,26 @@
+import pytest
+from pyspark.sql import functions as F
 from test_requests_and_files import entities
 
+from kinledger.operators import corpus, retrieve
 from kinledger.plans import search
 
+CLAIM = "claim_id long, claimed_name string, cin string, website string, email string"
+
+
+@pytest.mark.parametrize("scorer", [None, lambda f: F.col("trigram_core")])
+def test_whole_search_of_a_source_cuts_nothing_before_it(spark, monkeypatch, scorer):
+    """One bank among many registered companies of the same words, which take all places that are retrieved."""
+    monkeypatch.setattr(search, "RETRIEVED", 2)
+    monkeypatch.setattr(corpus, "CEILING_LEAST", 1)
+    monkeypatch.setattr(retrieve, "NGRAM_BELOW", 0)
+    claims = spark.createDataFrame([(1, "Zuri Gold Loans", None, None, None), (2, "Zuri", None, None, None)], CLAIM)
+    assert search.served_search(claims, entities(spark), "bank", 3, scorer).collect() == []
+    bank, every = (search.served_search(claims, entities(spark), s, 25, scorer, whole=True).collect() for s in ("bank", "all"))
+    assert {(r.claim_id, r.entity_id, r["rank"]) for r in bank} == {(1, "bank:1", 1), (2, "bank:1", 1)}
+    rows = lambda found: {(r.claim_id, r.entity_id, round(r.score, 6), r.probability) for r in found}
+    assert rows(bank) == {r for r in rows(every) if r[1] == "bank:1"} and len(every) > 2
+
 
 def test_accepted_matches_are_those_of_the_whole_ranking(spark):
     claims = spark.createDataFrame([(1, "Makano Gold Loans Ltd", None, None, None), (2, "Bank of Zuri", None, None, None), (3, "nothing alike", None, None, None)], "claim_id long, claimed_name string, cin string, website string, email string")
