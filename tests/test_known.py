@@ -54,3 +54,15 @@ def test_whole_ranking_equals_brute_force(spark, monkeypatch, block):
     got = {(r.claim_id, r["rank"]): (r.entity_id, r.probability) for r in search.ranked_matches(claims, e, whole=True).collect()}
     assert got == want and {k for k, _ in got} == {1, 2, 3}
     assert got != {(r.claim_id, r["rank"]): (r.entity_id, r.probability) for r in search.ranked_matches(claims, e).collect()}
+
+
+def test_whole_known_entities_are_not_lost_by_the_pool(spark, monkeypatch):
+    """A longer name has all words asked for and takes the one place of the pool; the accepted one differs in a letter."""
+    monkeypatch.setattr(search, "POOLED", 1)
+    monkeypatch.setattr(retrieve, "NGRAM_BELOW", 0)
+    names = ["MAKANO GOLDEN LOANS HOUSING TEMOKI HOXODO ZURI", "MAKANO GOLDEN LOANS HOUSING TEMOKIS"]
+    rows = [(i, n, n + " LIMITED", n) for i, n in enumerate(names)]
+    e = corpus.unite({"registered_nbfc": spark.createDataFrame(rows, "source_row_number int, name string, name_normalized string, name_core string")})
+    claims = spark.createDataFrame([(1, "Makano Golden Loans Housing Temoki", None, None, None)], CLAIM)
+    assert search.known_entities(claims, e).collect() == []
+    assert [(r.entity_id, r.nth) for r in search.known_entities(claims, e, whole=True).collect()] == [("registered_nbfc:1", 1)]
